@@ -22,14 +22,18 @@ def structured_records(pages: DataFrame) -> DataFrame:
     return nodes.select("url", *structured_fields(F.col("_nodes")))
 
 
-def harvest_rows(pages: DataFrame) -> DataFrame:
-    """Claim fields of each page. The date is JSON-LD or the meta tag, never free text."""
+def harvest_rows(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Claim fields of each page. The date is JSON-LD or the meta tag, never free text.
+
+    ``keep`` names further page columns to carry along.
+    """
     html = F.col("html")
     meta = meta_content(html, DATE_META).alias("_meta_date")
-    nodes = pages.select("url", jsonld_nodes(html).alias("_nodes"), meta)
-    rows = nodes.select("url", "_meta_date", *structured_fields(F.col("_nodes")))
+    nodes = pages.select("url", *keep, jsonld_nodes(html).alias("_nodes"), meta)
+    rows = nodes.select("url", *keep, "_meta_date", *structured_fields(F.col("_nodes")))
     return rows.select(
         "url",
+        *keep,
         "claim_reviewed",
         "rating",
         first_filled(F.col("date_jsonld"), F.col("_meta_date")).alias("pub_date"),

@@ -36,7 +36,12 @@ def harvest(targets: DataFrame, pages: DataFrame) -> DataFrame:
 
     Pages are reduced to their few claim fields before the join, so HTML is never shuffled.
     """
-    rows = targets.join(harvest_rows(pages.filter("html is not null")), "url", "left")
+    return attach_claims(targets, harvest_rows(pages.filter("html is not null")))
+
+
+def attach_claims(targets: DataFrame, harvested: DataFrame, how: str = "left") -> DataFrame:
+    """Join targets with harvested page rows into claim rows."""
+    rows = targets.join(harvested, "url", how)
     flag = has_markup(F.col("jsonld_types")).alias("has_claimreview")
     return rows.select(*[flag if c == "has_claimreview" else c for c in domain.CLAIM_COLUMNS])
 

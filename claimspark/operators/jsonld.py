@@ -12,26 +12,22 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from claimspark.functions.html import jsonld_blocks
 
-NODE = (
-    "struct<types:array<string>,claim:string,rating:string,claimant:string,"
-    "keeps_claimant:boolean,published:string,headline:string,keywords:string>"
-)
-_NODE_ARROW = pa.list_(
-    pa.struct(
-        [
-            ("types", pa.list_(pa.string())),
-            ("claim", pa.string()),
-            ("rating", pa.string()),
-            ("claimant", pa.string()),
-            ("keeps_claimant", pa.bool_()),
-            ("published", pa.string()),
-            ("headline", pa.string()),
-            ("keywords", pa.string()),
-        ]
-    )
+NODE = T.StructType(
+    [
+        T.StructField("types", T.ArrayType(T.StringType())),
+        T.StructField("claim", T.StringType()),
+        T.StructField("rating", T.StringType()),
+        T.StructField("claimant", T.StringType()),
+        T.StructField("keeps_claimant", T.BooleanType()),
+        T.StructField("published", T.StringType()),
+        T.StructField("headline", T.StringType()),
+        T.StructField("keywords", T.StringType()),
+    ]
 )
 
 
@@ -81,10 +77,10 @@ def block_nodes(text: str) -> list[dict]:
         return []
 
 
-@F.arrow_udf(f"array<{NODE}>")
+@F.arrow_udf(T.ArrayType(NODE))
 def _nodes(blocks: pa.Array) -> pa.Array:
     rows = [[n for b in page or () for n in block_nodes(b)] for page in blocks.to_pylist()]
-    return pa.array(rows, type=_NODE_ARROW)
+    return pa.array(rows, type=to_arrow_type(T.ArrayType(NODE)))
 
 
 def jsonld_nodes(html: Column) -> Column:

@@ -14,6 +14,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("claimspark")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")

@@ -18,11 +18,11 @@ def lookup_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:
     return urls.join(pages.select("url", "html"), "url", "left")
 
 
-def with_page_key(df: DataFrame, url: str = "url") -> DataFrame:
-    return df.withColumn("page_key", page_key(F.col(url)))
+def with_page_key(df: DataFrame, url: str = "url", max_chars: int = 150) -> DataFrame:
+    return df.withColumn("page_key", page_key(F.col(url), max_chars))
 
 
-def key_collisions(df: DataFrame, url: str = "url") -> DataFrame:
+def key_collisions(df: DataFrame, url: str = "url", max_chars: int = 150) -> DataFrame:
     """Keys shared by more than one distinct URL, with the number of URLs."""
-    distinct = with_page_key(df.select(url).distinct(), url)
+    distinct = with_page_key(df.select(url).distinct(), url, max_chars)
     return distinct.groupBy("page_key").agg(F.count("*").alias("n_urls")).filter("n_urls > 1")

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from claimspark import domain
-from claimspark.operators.harvest import harvest
+from claimspark.operators.extract import harvest_rows
+from claimspark.operators.harvest import attach_claims
 from claimspark.operators.keyed import keep_last
 from claimspark.sources.tables import CLAIM_SCHEMA, write_table
 
@@ -32,16 +33,18 @@ def run_harvest(
 
     Only pages of known targets are kept. ``drops`` holds parquet files of ``(url, html)``.
     """
-    pages = (
-        spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(drops)
-    )
+    files = spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
+    arrival = ("_metadata.file_modification_time", "_metadata.file_name")
+    pages = files.parquet(drops).select("url", "html", *arrival)
     wanted = targets.select("url", "verdict")
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        # One row per page of the batch, so a URL dropped twice in it is harvested once.
-        newest = keep_last(batch.filter("html is not null"), "url", "html")
-        hit = wanted.join(newest.select("url"), "url", "left_semi")
-        harvest(hit, newest).write.mode("overwrite").parquet(f"{log}/gen={batch_id}")
+        filled = batch.filter("html is not null")
+        arrived = ["file_modification_time", "file_name"]
+        # Of a URL dropped twice in one batch the newest file counts.
+        newest = keep_last(harvest_rows(filled, arrived), "url", arrived).drop(*arrived)
+        claims = attach_claims(wanted, newest, "inner")
+        claims.write.mode("overwrite").parquet(f"{log}/gen={batch_id}")
 
     return (
         pages.writeStream.foreachBatch(flush)
