@@ -41,8 +41,11 @@ def word_count(c: Column) -> Column:
 
 
 def contains_word(c: Column, word: str) -> Column:
-    """The word occurs with no letter, number or underscore on either side."""
-    return c.rlike(rf"(?iu)(?<![{WORD}])\Q{word}\E(?![{WORD}])")
+    """The word occurs with no letter, number or underscore on either side, in any case.
+
+    The left side is checked behind the word, so the search runs on the word's characters.
+    """
+    return c.rlike(rf"(?iu)\Q{word}\E(?![{WORD}])(?<![{WORD}]\Q{word}\E)")
 
 
 def strip_accents(c: Column) -> Column:

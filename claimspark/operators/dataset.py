@@ -11,7 +11,8 @@ from claimspark import domain
 from claimspark.functions.dates import LOCAL, wall_clock
 from claimspark.functions.labels import binary_label, rewrite
 from claimspark.functions.text import word_count
-from claimspark.operators.keyed import keep_first, stratified_cut
+from claimspark.operators.keyed import hash_rank_key, keep_first, stratified_cut
+from claimspark.session import stage
 from claimspark.sources.tables import write_table
 
 # The columns of the exploratory view.
@@ -96,11 +97,19 @@ def build_processed(
     fmt: str = "parquet",
     **options,
 ) -> DataFrame:
-    """Dataset with its frozen split; written partitioned by split when a path is given."""
-    dataset = add_splits(build_dataset(claims, **options), seed)
+    """Dataset with its frozen split; written partitioned by split when a path is given.
+
+    The de-duplicated rows are staged with their shuffle hash: finding the cut points then reads
+    two narrow columns, and the pass that assigns the splits needs no shuffle.
+    """
+    rows = build_dataset(claims, **options)
     if path:
+        rows = stage(rows.withColumn("_order", hash_rank_key(F.col("text"), seed)), "dataset")
+        labels = options.get("labels", domain.LABELS)
+        dataset = stratified_cut(rows, "label", labels, "text", domain.SPLITS, seed, hashed="_order")
         write_table(dataset, path, domain.DATASET_COLUMNS, fmt, ["split"] if fmt == "parquet" else [])
-    return dataset
+        return dataset
+    return add_splits(rows, seed)
 
 
 def class_table(spark, classes: Sequence[str] = domain.CLASSES) -> DataFrame:

@@ -93,6 +93,7 @@ def stratified_cut(
     seed: int = domain.SEED,
     name: str = "split",
     digits: int = 4,
+    hashed: str | None = None,
 ) -> DataFrame:
     """Assign each row to a part with exact, half-even rounded counts per stratum.
 
@@ -103,10 +104,10 @@ def stratified_cut(
     finds the bucket of every cut point; only those buckets are ranked to get the hash at the
     cut, and each row compares its hash with the few cut hashes of its stratum.
     ``values`` lists the strata, which bounds both broadcasts; rows of other strata are dropped.
+    ``hashed`` names a column that already holds the hash, and is not part of the result.
     """
-    rows = df.filter(F.col(strata).isin(*values)).withColumn(
-        "_hash", hash_rank_key(F.col(key), seed)
-    )
+    order = F.col(hashed) if hashed else hash_rank_key(F.col(key), seed)
+    rows = df.filter(F.col(strata).isin(*values)).withColumn("_hash", order)
     prefix = F.substring("_hash", 1, digits)
     buckets = rows.groupBy(strata, prefix.alias("_prefix")).agg(F.count("*").alias("_rows"))
     whole = Window.partitionBy(strata)
@@ -143,7 +144,7 @@ def stratified_cut(
         below = F.col("_hash") <= F.coalesce(F.col(f"_mark{i}"), F.lit(""))
         part = F.when(below, F.lit(parts[i][0])).otherwise(part)
     marked = rows.join(F.broadcast(marks), strata, "left").withColumn(name, part)
-    return marked.select(*[c for c in df.columns if c != name], name)
+    return marked.select(*[c for c in df.columns if c not in (name, hashed)], name)
 
 
 def salted_join(

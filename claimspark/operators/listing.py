@@ -12,6 +12,7 @@ from claimspark.functions.html import anchors
 from claimspark.functions.labels import detect_label, strip_badge
 from claimspark.functions.urls import absolute_url
 from claimspark.operators.keyed import keep_first
+from claimspark.session import stage
 
 MIN_CARD_CHARS = 30
 MAX_PAGES = 1000
@@ -77,12 +78,17 @@ def listing_cards(
     labels: Sequence[str] = domain.LISTING_BADGES,
     min_chars: int = MIN_CARD_CHARS,
 ) -> DataFrame:
-    """``(url, verdict, card_text, listing_page)`` from ``(listing_page, html)``."""
+    """``(url, verdict, card_text, listing_page)`` from ``(listing_page, html)``.
+
+    The cards are parsed once and staged, since both the end of the archive and the result read
+    them.
+    """
     wanted = pages.filter(F.col("listing_page").between(0, max_pages - 1) & F.col("html").isNotNull())
     linked = wanted.select("listing_page", anchors(F.col("html"), href_pattern).alias("_links"))
     carded = linked.select(
         "listing_page", F.filter("_links", lambda c: F.length(c["text"]) >= min_chars).alias("_links")
     )
+    carded = stage(carded, "cards")
     counts = carded.select("listing_page", F.array_size("_links").alias("n_cards"))
     cards = carded.select("listing_page", F.explode("_links").alias("link"))
     rows = labelled_cards(cards.select("listing_page", "link.*"), base, labels)

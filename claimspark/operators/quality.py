@@ -73,38 +73,49 @@ def date_plausibility(df: DataFrame, col: str, as_of: str, limit: float = 0.5) -
     )
 
 
+SAMPLE_FIELDS = ("title", "pub_date_raw", "claim_reviewed", "claimant", "tags")
+
+
 def recon_summary(
     listing: DataFrame, sitemap: DataFrame, sample: DataFrame, as_of: str
 ) -> DataFrame:
-    """All checks as one long ``(section, metric, value)`` table of texts."""
+    """All checks as one long ``(section, metric, value)`` table of texts.
+
+    Each input is aggregated as few times as possible: the listing once by verdict, the sitemap
+    once, the sample once for its rates and once by date.
+    """
 
     def long(df: DataFrame, section: str) -> DataFrame:
         texts = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
         out = texts.unpivot([], texts.columns, "metric", "value")
         return out.select(F.lit(section).alias("section"), "metric", "value")
 
-    counts = value_counts(listing, "verdict")
-    verdicts = counts.select(
+    verdicts = listing.groupBy("verdict").agg(F.count("*").alias("n"))
+    rows = F.coalesce(F.sum("n"), F.lit(0))
+    missing = F.try_divide(F.sum(F.when(F.col("verdict").isNull(), F.col("n")).otherwise(0)), rows)
+    shares = verdicts.select("verdict", "n", (F.col("n") * 100.0 / verdicts.agg(rows).scalar()).alias("pct"))
+    shown = shares.select(
         F.lit("verdicts").alias("section"),
-        F.coalesce("value", F.lit("None")).alias("metric"),
+        F.coalesce("verdict", F.lit("None")).alias("metric"),
         F.concat("n", F.lit(" ("), F.format_number("pct", 1), F.lit("%)")).alias("value"),
     )
-    sample_cols = ["title", "pub_date_raw", "claim_reviewed", "claimant", "tags"]
-    fills = fill_rates(sample, sample_cols).select(
-        F.lit("filled").alias("section"), F.col("column").alias("metric"), F.col("share").cast("string").alias("value")
+    cards = verdicts.agg(
+        rows.alias("n_listing"), missing.alias("verdict_null_share"), (missing > 0.10).alias("verdict_warn")
+    )
+    day = wall_clock(F.col("lastmod"), "UTC").cast("date")
+    site = sitemap.agg(F.count("*").alias("n_sitemap"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+    coverage = _share(has_markup(F.col("jsonld_types")))
+    rates = sample.agg(
+        F.count("*").alias("n_sample"),
+        *[_share(F.col(c).isNotNull()).alias(f"{c}_filled") for c in SAMPLE_FIELDS],
+        coverage.alias("markup_coverage"),
+        (coverage > 0.5).alias("markup_recommend"),
+    )
+    dates = date_plausibility(sample, "pub_date_raw", as_of)
+    return (
+        long(cards, "listing")
+        .unionByName(shown)
+        .unionByName(long(site, "sitemap"))
+        .unionByName(long(rates, "sample"))
+        .unionByName(long(dates, "dates"))
     )
-    parts = [
-        long(listing.agg(F.count("*").alias("n_listing")), "rows"),
-        long(sitemap.agg(F.count("*").alias("n_sitemap")), "rows"),
-        long(sample.agg(F.count("*").alias("n_sample")), "rows"),
-        verdicts,
-        long(null_alarm(listing, "verdict"), "verdict_missing"),
-        long(date_range(sitemap, "lastmod"), "sitemap_dates"),
-        fills,
-        long(markup_coverage(sample), "markup"),
-        long(date_plausibility(sample, "pub_date_raw", as_of), "dates"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out

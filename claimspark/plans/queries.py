@@ -16,7 +16,7 @@ from claimspark.operators import classify, dataset, extract, features, harvest,
 from claimspark.operators import listing, metrics, profile, quality, sampling, terms
 from claimspark.operators import vectors as neighbours
 from claimspark.plans import views
-from claimspark.session import scratch_path
+from claimspark.session import scratch_path, stage
 from claimspark.sources import pages as page_source
 from claimspark.sources import sitemap, tables
 from claimspark.streaming import harvest as stream
@@ -372,10 +372,12 @@ def date_plausibility(spark, sf):
 
 @query
 def recon_summary(spark, sf):
+    """The three recon tables, written first and then summarised."""
     cards = listing.listing_cards(views.listing_pages(spark, sf), views.SITE, CARD_LINK, max_pages=10**9)
     site = sitemap.sitemap_urls(views.sitemap_docs(spark, sf), "sitemap.xml", "/")
     sample = extract.article_sample(views.article_pages(spark, sf), "Checks")
-    return quality.recon_summary(cards, site, sample, AS_OF)
+    parts = [stage(df, name) for df, name in ((cards, "cards"), (site, "sitemap"), (sample, "sample"))]
+    return quality.recon_summary(*parts, AS_OF)
 
 
 @query
