@@ -1,7 +1,8 @@
 """HTML columns, all map-only regular expressions over the page text.
 
 They cover what the operators need (links, title, meta tags, visible text, JSON-LD blocks) on
-reasonably formed pages; this is not an HTML parser.
+reasonably formed pages; this is not an HTML parser. Apart from ``without_comments`` they expect
+HTML whose comments are gone, so operators strip those once per page.
 """
 
 from __future__ import annotations
@@ -63,8 +64,8 @@ def without_comments(html: Column) -> Column:
 
 
 def without_scripts(html: Column) -> Column:
-    """Drop comments and the bodies of script, style and template tags."""
-    return F.regexp_replace(without_comments(html), _RAW_TEXT, _MARK)
+    """Drop script, style and template tags with their bodies."""
+    return F.regexp_replace(html, _RAW_TEXT, _MARK)
 
 
 def _inner_text(markup: Column) -> Column:
@@ -106,20 +107,20 @@ def jsonld_blocks(html: Column) -> Column:
     pattern = (
         r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
     )
-    return F.regexp_extract_all(without_comments(html), F.lit(pattern), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
 
 
 def meta_content(html: Column, prop: str) -> Column:
     """``content`` of the first meta tag with this property, null when absent or empty."""
     quoted = re.escape(prop)
     pattern = rf"""(?is)<meta\b[^>]*\bproperty\s*=\s*["']{quoted}["'][^>]*>"""
-    tag = F.regexp_extract(without_comments(html), pattern, 0)
+    tag = F.regexp_extract(html, pattern, 0)
     return F.nullif(_attribute(tag, "content"), F.lit(""))
 
 
 def title_text(html: Column, site_suffix: str | None = None) -> Column:
     """Text of the first title tag, minus ``| <site>`` at its end; null without a title tag."""
-    raw = F.regexp_extract(without_comments(html), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+    raw = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
     text = strip_space(decode_entities(raw))
     if site_suffix:
         text = F.regexp_replace(text, rf"(?U)\s*\|\s*\Q{site_suffix}\E\s*\z", "")

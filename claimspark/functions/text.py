@@ -1,7 +1,7 @@
 """Text columns: whitespace, words, accents, tokens.
 
-The word class is spelled out as letters, numbers and underscore, because Java's ``\\w`` is
-ASCII by default and, with the Unicode flag, also takes in combining marks.
+Word and space characters are spelled out: Java's ``\\w`` and ``\\s`` are ASCII by default and, with
+the Unicode flag, slower and wider (``\\w`` then takes in combining marks).
 """
 
 from __future__ import annotations
@@ -12,7 +12,13 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"\p{L}\p{N}_"
-SPACE = r"\s\x1c-\x1f"
+
+# The white space characters, as a regular expression class and as a text.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Accented vowels and their plain form; ñ is kept.
 ACCENTED = "áéíóúüÁÉÍÓÚÜ"
@@ -23,17 +29,17 @@ _PLAIN_OF = str.maketrans(ACCENTED, PLAIN)
 
 def strip_space(c: Column) -> Column:
     """Trim every kind of white space from both ends."""
-    return F.regexp_replace(c, rf"(?U)^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.trim(c, F.lit(SPACE_CHARS))
 
 
 def squeeze(c: Column) -> Column:
     """Collapse white space to single blanks and trim."""
-    return F.trim(F.regexp_replace(c, rf"(?U)[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(c, rf"[{SPACE}]+", " "))
 
 
 def words(c: Column) -> Column:
     """Maximal runs of non-space characters."""
-    return F.regexp_extract_all(c, F.lit(rf"(?U)[^{SPACE}]+"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(rf"[^{SPACE}]+"), F.lit(0))
 
 
 def word_count(c: Column) -> Column:
@@ -54,7 +60,7 @@ def strip_accents(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Lower case, no accents, nothing but word characters and white space."""
-    return F.regexp_replace(strip_accents(F.lower(c)), rf"(?U)[^{WORD}{SPACE}]", "")
+    return F.regexp_replace(strip_accents(F.lower(c)), rf"[^{WORD}{SPACE}]", "")
 
 
 def plain_stopwords(stopwords: Iterable[str]) -> list[str]:

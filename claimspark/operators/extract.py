@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark import domain
-from claimspark.functions.html import first_filled, meta_content, title_text, visible_text
+from claimspark.functions.html import first_filled, meta_content, title_text, visible_text, without_comments
 from claimspark.functions.labels import detect_label
 from claimspark.operators.jsonld import has_markup, jsonld_nodes, structured_fields
 
@@ -16,9 +16,13 @@ DATE_META = "article:published_time"
 TITLE_META = "og:title"
 
 
+def _clean(pages: DataFrame, *keep: str) -> DataFrame:
+    return pages.select("url", *keep, without_comments(F.col("html")).alias("html"))
+
+
 def structured_records(pages: DataFrame) -> DataFrame:
     """``(url, claim_reviewed, claimant, rating, date_jsonld, headline, keywords, jsonld_types)``."""
-    nodes = pages.select("url", jsonld_nodes(F.col("html")).alias("_nodes"))
+    nodes = _clean(pages).select("url", jsonld_nodes(F.col("html")).alias("_nodes"))
     return nodes.select("url", *structured_fields(F.col("_nodes")))
 
 
@@ -29,7 +33,7 @@ def harvest_rows(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """
     html = F.col("html")
     meta = meta_content(html, DATE_META).alias("_meta_date")
-    nodes = pages.select("url", *keep, jsonld_nodes(html).alias("_nodes"), meta)
+    nodes = _clean(pages, *keep).select("url", *keep, jsonld_nodes(html).alias("_nodes"), meta)
     rows = nodes.select("url", *keep, "_meta_date", *structured_fields(F.col("_nodes")))
     return rows.select(
         "url",
@@ -54,19 +58,26 @@ def article_sample(
     ``label_chars`` characters of the visible text.
     """
     html = F.col("html")
-    raw = pages.filter(html.isNotNull() & (html != "")).select(
-        "url",
-        jsonld_nodes(html).alias("_nodes"),
-        first_filled(meta_content(html, TITLE_META), title_text(html, site_suffix)).alias("_title"),
-        meta_content(html, DATE_META).alias("_date"),
-        detect_label(F.substring(visible_text(html), 1, label_chars), labels).alias("_badge"),
+    filled = _clean(pages.filter(html.isNotNull() & (html != "")))
+    nodes = filled.select("url", "html", jsonld_nodes(html).alias("_nodes"))
+    rows = nodes.select("url", "html", *structured_fields(F.col("_nodes")))
+
+    def lacking(field: str, fallback: Column) -> Column:
+        return F.when(F.col(field).isNull(), fallback)
+
+    # The fallbacks are only worked out for pages that lack the field, and the text is its own
+    # column because the label search looks at it once per label.
+    rows = rows.select(
+        *[c for c in rows.columns if c != "html"],
+        lacking("headline", first_filled(meta_content(html, TITLE_META), title_text(html, site_suffix))).alias("_title"),
+        lacking("date_jsonld", meta_content(html, DATE_META)).alias("_date"),
+        lacking("rating", F.substring(visible_text(html), 1, label_chars)).alias("_opening"),
     )
-    rows = raw.select("url", "_title", "_date", "_badge", *structured_fields(F.col("_nodes")))
     return rows.select(
         "url",
         F.coalesce("headline", "_title").alias("title"),
-        first_filled(F.col("date_jsonld"), F.col("_date")).alias("pub_date_raw"),
-        F.coalesce("rating", "_badge").alias("verdict_in_page"),
+        F.coalesce("date_jsonld", "_date").alias("pub_date_raw"),
+        F.coalesce("rating", detect_label(F.col("_opening"), labels)).alias("verdict_in_page"),
         "claim_reviewed",
         "claimant",
         F.col("keywords").alias("tags"),

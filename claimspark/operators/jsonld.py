@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from claimspark.functions.html import jsonld_blocks
+from claimspark.functions.html import jsonld_blocks, without_comments
 
 NODE = T.StructType(
     [
@@ -84,7 +84,7 @@ def _nodes(blocks: pa.Array) -> pa.Array:
 
 
 def jsonld_nodes(html: Column) -> Column:
-    """All nodes of a page: ``array<struct>`` in document order."""
+    """All nodes of a comment-free page: ``array<struct>`` in document order."""
     return _nodes(jsonld_blocks(html))
 
 

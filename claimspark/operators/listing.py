@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark import domain
-from claimspark.functions.html import anchors
+from claimspark.functions.html import anchors, without_comments
 from claimspark.functions.labels import detect_label, strip_badge
 from claimspark.functions.urls import absolute_url
 from claimspark.operators.keyed import keep_first
@@ -20,7 +20,7 @@ MAX_PAGES = 1000
 
 def page_links(pages: DataFrame, href_pattern: str, key: str = "listing_page") -> DataFrame:
     """``(key, pos, href, text)`` of the matching links of each page."""
-    links = pages.select(key, F.explode(anchors(F.col("html"), href_pattern)).alias("link"))
+    links = pages.select(key, F.explode(anchors(without_comments(F.col("html")), href_pattern)).alias("link"))
     return links.select(key, "link.*")
 
 
@@ -84,7 +84,9 @@ def listing_cards(
     them.
     """
     wanted = pages.filter(F.col("listing_page").between(0, max_pages - 1) & F.col("html").isNotNull())
-    linked = wanted.select("listing_page", anchors(F.col("html"), href_pattern).alias("_links"))
+    linked = wanted.select(
+        "listing_page", anchors(without_comments(F.col("html")), href_pattern).alias("_links")
+    )
     carded = linked.select(
         "listing_page", F.filter("_links", lambda c: F.length(c["text"]) >= min_chars).alias("_links")
     )

@@ -171,12 +171,12 @@ def page_links(spark, sf):
 @query
 def page_titles(spark, sf):
     pages = views.table(spark, sf, "pages")
-    return pages.select("page_id", html.title_text(F.col("html")).alias("title"))
+    return pages.select("page_id", html.title_text(html.without_comments(F.col("html"))).alias("title"))
 
 
 @query
 def page_visible_text(spark, sf):
-    shown = views.table(spark, sf, "pages").select("page_id", html.visible_text(F.col("html")).alias("t"))
+    shown = views.table(spark, sf, "pages").select("page_id", html.visible_text(html.without_comments(F.col("html"))).alias("t"))
     return shown.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
