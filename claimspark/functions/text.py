@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 WORD = r"\p{L}\p{N}_"
 
-# The white space characters, as a regular expression class and as a text.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# White space. The Latin-1 part is written as single characters, which a regular
+# expression tests with one table look-up; the rest lies between U+1680 and U+3000.
+SPACE = r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+WIDE_SPACE = r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
@@ -27,6 +29,11 @@ PLAIN = "aeiouuAEIOUU"
 _PLAIN_OF = str.maketrans(ACCENTED, PLAIN)
 
 
+def narrow_space(c: Column) -> Column:
+    """Replace the rare white space outside Latin-1 by blanks, in texts that may hold any."""
+    return F.when(c.rlike(r"[\u1680-\u3000]"), F.regexp_replace(c, f"[{WIDE_SPACE}]", " ")).otherwise(c)
+
+
 def strip_space(c: Column) -> Column:
     """Trim every kind of white space from both ends."""
     return F.trim(c, F.lit(SPACE_CHARS))
@@ -34,12 +41,12 @@ def strip_space(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Collapse white space to single blanks and trim."""
-    return F.trim(F.regexp_replace(c, rf"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(narrow_space(c), rf"[{SPACE}]+", " "))
 
 
 def words(c: Column) -> Column:
     """Maximal runs of non-space characters."""
-    return F.regexp_extract_all(c, F.lit(rf"[^{SPACE}]+"), F.lit(0))
+    return F.regexp_extract_all(narrow_space(c), F.lit(rf"[^{SPACE}]+"), F.lit(0))
 
 
 def word_count(c: Column) -> Column:
@@ -60,7 +67,7 @@ def strip_accents(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Lower case, no accents, nothing but word characters and white space."""
-    return F.regexp_replace(strip_accents(F.lower(c)), rf"[^{WORD}{SPACE}]", "")
+    return F.regexp_replace(strip_accents(F.lower(narrow_space(c))), rf"[^{WORD}{SPACE}]", "")
 
 
 def plain_stopwords(stopwords: Iterable[str]) -> list[str]:

@@ -147,15 +147,21 @@ def stratified_cut(
     return marked.select(*[c for c in df.columns if c not in (name, hashed)], name)
 
 
-def salted_join(
-    big: DataFrame, small: DataFrame, key: str, spread: str, salts: int = 16, how: str = "inner"
+def skewed_join(
+    big: DataFrame, small: DataFrame, key: str, rows: str, spread: str, salts: int = 32, hot: int = 10_000
 ) -> DataFrame:
-    """Equi-join whose hot keys are spread over ``salts`` tasks.
+    """Inner join of many rows per key with one row per key, hot keys spread over ``salts`` tasks.
 
-    ``big`` may hold most rows under one key; ``small`` has one row per key and is repeated once
-    per salt. ``spread`` names a column of ``big`` that varies within a key.
+    ``rows`` is the column of ``small`` with the number of ``big`` rows of the key, ``spread`` a
+    column of ``big`` that varies within a key. A key is hot above ``1 / hot`` of all rows, so at
+    most ``hot`` keys can be, which bounds the broadcast list of them; only their rows of
+    ``small`` are repeated per salt.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    right = small.select("*", copies)
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    limit = small.agg(F.sum(rows) / F.lit(hot)).scalar()
+    marked = small.withColumn("_hot", F.col(rows) > limit)
+    listed = F.broadcast(marked.filter("_hot").select(key, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    left = big.join(listed, key, "left").withColumn("_salt", salt).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = marked.withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")

@@ -77,7 +77,7 @@ def dataset_written(spark, sf):
 @query
 def multiword_documents(spark, sf):
     """First copy of every document text of more than one token."""
-    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    docs = views.texts(spark, sf, "documents").select("doc_id", "text")
     kept = keyed.keep_first(dataset.multiword(docs, "text"), "text", "doc_id")
     return kept.select("doc_id", text.word_count(F.col("text")).alias("n_words"))
 
@@ -164,19 +164,19 @@ def page_key_collisions(spark, sf):
 
 @query
 def page_links(spark, sf):
-    links = listing.page_links(views.table(spark, sf, "pages"), LINK, "page_id")
+    links = listing.page_links(views.texts(spark, sf, "pages"), LINK, "page_id")
     return links.select("page_id", "pos", "href", "text", urls.absolute_url(F.col("href"), views.SITE).alias("url"))
 
 
 @query
 def page_titles(spark, sf):
-    pages = views.table(spark, sf, "pages")
+    pages = views.texts(spark, sf, "pages")
     return pages.select("page_id", html.title_text(html.without_comments(F.col("html"))).alias("title"))
 
 
 @query
 def page_visible_text(spark, sf):
-    shown = views.table(spark, sf, "pages").select("page_id", html.visible_text(html.without_comments(F.col("html"))).alias("t"))
+    shown = views.texts(spark, sf, "pages").select("page_id", html.visible_text(html.without_comments(F.col("html"))).alias("t"))
     return shown.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
@@ -407,7 +407,7 @@ def nullity_correlation(spark, sf):
 
 @query
 def duplicate_counts(spark, sf):
-    docs = views.table(spark, sf, "documents").select("text", "lang")
+    docs = views.texts(spark, sf, "documents").select("text", "lang")
     return profile.duplicate_counts(docs, "text")
 
 
@@ -459,14 +459,14 @@ def disagreement_count(spark, sf):
 
 @query
 def length_description(spark, sf):
-    docs = profile.with_length(views.table(spark, sf, "documents"), "text")
+    docs = profile.with_length(views.texts(spark, sf, "documents"), "text")
     row = profile.describe(docs, "n_words")
     return row.select(*[r6(F.col(c).cast("double")).alias(c) for c in row.columns])
 
 
 @query
 def single_token_texts(spark, sf):
-    return profile.single_token_texts(views.table(spark, sf, "documents"), "text").select("doc_id", "text")
+    return profile.single_token_texts(views.texts(spark, sf, "documents"), "text").select("doc_id", "text")
 
 
 @query
@@ -482,14 +482,14 @@ def length_density(spark, sf):
 
 @query
 def short_text_crosstab(spark, sf):
-    docs = profile.with_length(views.table(spark, sf, "documents"), "text")
+    docs = profile.with_length(views.texts(spark, sf, "documents"), "text")
     return profile.short_text_crosstab(docs, ["en", "es", "fr", "de"], "lang")
 
 
 @query
 def label_leaks(spark, sf):
     """Which of some common words occur in how many documents."""
-    return profile.label_leaks(views.table(spark, sf, "documents"), "text", ["The", "Pour", "Más", "falso"])
+    return profile.label_leaks(views.texts(spark, sf, "documents"), "text", ["The", "Pour", "Más", "falso"])
 
 
 @query
@@ -501,13 +501,13 @@ def class_distribution(spark, sf):
 
 
 def _doc_tokens(spark, sf) -> DataFrame:
-    docs = views.table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    docs = views.texts(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("label"))
     return terms.with_tokens(docs, "text", views.STOPWORDS)
 
 
 @query
 def plain_texts(spark, sf):
-    docs = views.table(spark, sf, "documents")
+    docs = views.texts(spark, sf, "documents")
     plain = text.normalize(F.col("text"))
     return docs.select("doc_id", F.md5(plain).alias("text_md5"), F.md5(text.strip_accents(F.col("text"))).alias("unaccented_md5"))
 
@@ -564,7 +564,7 @@ def _chunk_tokenizer():
 @query
 def subword_lengths(spark, sf):
     count = terms.piece_count(_chunk_tokenizer)
-    docs = views.table(spark, sf, "documents").select("doc_id", count("text").alias("n_pieces"))
+    docs = views.texts(spark, sf, "documents").select("doc_id", count("text").alias("n_pieces"))
     row = profile.describe(docs, "n_pieces")
     return row.select(*[r6(F.col(c).cast("double")).alias(c) for c in row.columns])
 
@@ -588,7 +588,7 @@ def class_weights(spark, sf):
 @query
 def tfidf_documents(spark, sf):
     """Kept terms, summed weight and largest weight of every document's TF-IDF row."""
-    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    docs = views.texts(spark, sf, "documents").select("doc_id", "text")
     rows = features.tfidf_table(docs, "doc_id", "text").groupBy("doc_id")
     return rows.agg(
         F.count("*").alias("n_terms"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimspark.operators.dataset import add_splits, build_dataset, build_processed, eda_view
 from claimspark.operators.profile import with_length
 from claimspark.session import scratch_path
+from claimspark.sources.tables import spread
 
 SITE = "https://checks.example"
 CARDS_PER_PAGE = 20
@@ -25,8 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, whose parsing should use every core."""
+    return spread(table(spark, sf_dir, name))
+
+
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    documents = texts(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     labels = table(spark, sf_dir, "labels").withColumn("labelled", F.lit(True))
     both = documents.join(labels, "doc_id", "left")
     return both.withColumn("labelled", F.coalesce("labelled", F.lit(False)))
@@ -218,7 +224,7 @@ def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(listing_page, html)``: the documents as cards, twenty to a page; copies share a link."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     lang = F.col("lang")
     badge = (
         F.when(lang == "en", "Falso Falso: ")
