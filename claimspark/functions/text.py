@@ -67,7 +67,7 @@ def strip_accents(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Lower case, no accents, nothing but word characters and white space."""
-    return F.regexp_replace(strip_accents(F.lower(narrow_space(c))), rf"[^{WORD}{SPACE}]", "")
+    return F.regexp_replace(strip_accents(F.lower(c)), rf"[^{WORD}{SPACE}{WIDE_SPACE}]", "")
 
 
 def plain_stopwords(stopwords: Iterable[str]) -> list[str]:
