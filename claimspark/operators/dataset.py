@@ -85,9 +85,7 @@ def add_splits(
 
 def split_summary(dataset: DataFrame) -> DataFrame:
     """Rows per split and label; a null label or split is the total over it."""
-    total = dataset.rollup("split", "label").agg(F.count("*").alias("n"))
-    overall = dataset.groupBy("label").agg(F.count("*").alias("n"))
-    return total.unionByName(overall.select(F.lit(None).cast("string").alias("split"), "label", "n"))
+    return dataset.cube("split", "label").agg(F.count("*").alias("n"))
 
 
 def build_processed(

@@ -76,7 +76,7 @@ def stride_sample(df: DataFrame, k: int, order: str | Sequence[str]) -> DataFram
     rows = index.agg(F.count("*")).scalar()
     picked = index.withColumn("_step", F.greatest(F.lit(1), F.floor(rows / F.lit(max(k, 1)))))
     picked = picked.filter((F.col("idx") % F.col("_step") == 0) & (F.col("idx") / F.col("_step") < k))
-    return df.join(F.broadcast(picked.select(*order)), order)  # at most k rows
+    return df.join(picked.select(*order), order)
 
 
 def hash_rank_key(key: Column, seed: int) -> Column:

@@ -18,10 +18,18 @@ def with_tokens(
     return df.withColumn(name, tokens(F.col(text), stopwords))
 
 
+def term_rows(df: DataFrame, *keep: Column | str, col: str = "tokens") -> DataFrame:
+    """One row ``term`` per token.
+
+    The outer form plus a filter on the result: for a plain explode Spark would add a non-empty
+    filter on the array, push it down, and tokenise every text several times.
+    """
+    return df.select(*keep, F.explode_outer(col).alias("term")).filter("term is not null")
+
+
 def term_frequency(df: DataFrame, col: str = "tokens") -> DataFrame:
     """``(term, n)`` over the whole corpus."""
-    terms = df.select(F.explode(col).alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("n"))
+    return term_rows(df, col=col).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def with_total(frequency: DataFrame) -> DataFrame:
@@ -31,8 +39,7 @@ def with_total(frequency: DataFrame) -> DataFrame:
 
 def class_terms(df: DataFrame, by: str = "label", col: str = "tokens") -> DataFrame:
     """``(by, term, n)`` counts."""
-    terms = df.select(by, F.explode(col).alias("term"))
-    return terms.groupBy(by, "term").agg(F.count("*").alias("n"))
+    return term_rows(df, by, col=col).groupBy(by, "term").agg(F.count("*").alias("n"))
 
 
 def top_terms(df: DataFrame, n: int = 10, by: str = "label", col: str = "tokens") -> DataFrame:
@@ -54,7 +61,7 @@ def distinctive_terms(
     One aggregate by term holds the corpus count and one count per class; class and corpus
     totals are sums over it. Every token counts towards the totals, also rare ones.
     """
-    terms = df.select(F.col(by).alias("_by"), F.explode(col).alias("term"))
+    terms = term_rows(df, F.col(by).alias("_by"), col=col)
     names = [f"c{i}" for i in range(len(labels))]
     counts = terms.groupBy("term").agg(
         F.count("*").alias("g"),
