@@ -79,14 +79,15 @@ SAMPLE_FIELDS = ("title", "pub_date_raw", "claim_reviewed", "claimant", "tags")
 def recon_summary(
     listing: DataFrame, sitemap: DataFrame, sample: DataFrame, as_of: str
 ) -> DataFrame:
-    """All checks as one long ``(section, metric, value)`` table of texts.
+    """All checks as one long ``(section, metric, value)`` table of texts, shares to four digits.
 
     Each input is aggregated as few times as possible: the listing once by verdict, the sitemap
     once, the sample once for its rates and once by date.
     """
 
     def long(df: DataFrame, section: str) -> DataFrame:
-        texts = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+        shown = [F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+        texts = df.select(*shown).select(*[F.col(c).cast("string").alias(c) for c in df.columns])
         out = texts.unpivot([], texts.columns, "metric", "value")
         return out.select(F.lit(section).alias("section"), "metric", "value")
 

@@ -14,6 +14,7 @@ def _list(values) -> str:
 
 
 LABELS = _list(domain.LABELS)
+STOPWORDS = _list(sorted({w.translate(str.maketrans("áéíóúü", "aeiouu")) for w in views.STOPWORDS}))
 
 CLAIMS = """
 docs AS (
@@ -85,7 +86,7 @@ plain AS (
 tokenised AS (
   SELECT doc_id, label, list_filter(regexp_extract_all(plain, '\\S+'),
     lambda t: regexp_full_match(t, '\\p{{L}}+') AND length(t) > 2
-      AND t NOT IN ({_list(sorted({w.translate(str.maketrans("áéíóúü", "aeiouu")) for w in views.STOPWORDS}))})) AS tokens FROM plain),
+      AND t NOT IN ({STOPWORDS})) AS tokens FROM plain),
 terms AS (SELECT doc_id, label, unnest(tokens) AS term FROM tokenised)"""
 
 PREDICTIONS = """
@@ -370,6 +371,39 @@ def _missing(source: str, columns) -> str:
 
 
 EDA_COLUMNS = ("seq", "url", "verdict", "corpus", "rating", "date", "has_review")
+LISTED = ORACLES["listing_cards"].removeprefix("WITH ").rsplit("SELECT url, verdict", 1)[0]
+oracle("recon_summary", LISTED + """,
+listed AS (SELECT * FROM firsts WHERE rn = 1),
+site AS (SELECT url, arg_min(CASE WHEN page_id % 5 <> 0 THEN '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') END, page_id) AS lastmod
+  FROM pages GROUP BY url),
+""" + ARTICLE.strip() + f""",
+sample AS (SELECT *, CASE WHEN date_jsonld IS NOT NULL THEN date_jsonld WHEN lang = 'en' THEN published END AS stamp
+  FROM fields WHERE has_page),
+days AS (SELECT stamp, substr(stamp, 1, 10) AS day FROM sample WHERE stamp IS NOT NULL),
+n AS (SELECT count(*) AS n, avg(CASE WHEN verdict IS NULL THEN 1.0 ELSE 0.0 END) AS missing FROM listed)""", f"""
+SELECT 'listing' AS section, 'n_listing' AS metric, CAST(n AS VARCHAR) AS value FROM n
+UNION ALL SELECT 'listing', 'verdict_null_share', CAST(round(missing, 4) AS VARCHAR) FROM n
+UNION ALL SELECT 'listing', 'verdict_warn', CAST(missing > 0.1 AS VARCHAR) FROM n
+UNION ALL SELECT 'verdicts', coalesce(verdict, 'None'),
+  count(*) || ' (' || format('{{:.1f}}', round(count(*) * 100.0 / (SELECT n FROM n), 1)) || '%)' FROM listed GROUP BY verdict
+UNION ALL SELECT 'sitemap', 'n_sitemap', CAST(count(*) AS VARCHAR) FROM site
+UNION ALL SELECT 'sitemap', 'first_day', min(lastmod) FROM site
+UNION ALL SELECT 'sitemap', 'last_day', max(lastmod) FROM site
+UNION ALL SELECT 'sample', 'n_sample', CAST(count(*) AS VARCHAR) FROM sample
+UNION ALL SELECT 'sample', 'title_filled', '1.0'
+UNION ALL SELECT 'sample', 'pub_date_raw_filled', CAST(round(count(stamp) / count(*), 4) AS VARCHAR) FROM sample
+UNION ALL SELECT 'sample', 'claim_reviewed_filled', CAST(round(count(claim) / count(*), 4) AS VARCHAR) FROM sample
+UNION ALL SELECT 'sample', 'claimant_filled', CAST(round(count(claimant) / count(*), 4) AS VARCHAR) FROM sample
+UNION ALL SELECT 'sample', 'tags_filled', CAST(round(count(keywords) / count(*), 4) AS VARCHAR) FROM sample
+UNION ALL SELECT 'sample', 'markup_coverage',
+  CAST(round(avg(CASE WHEN jsonld_types LIKE '%ClaimReview%' THEN 1.0 ELSE 0.0 END), 4) AS VARCHAR) FROM sample
+UNION ALL SELECT 'sample', 'markup_recommend',
+  CAST(avg(CASE WHEN jsonld_types LIKE '%ClaimReview%' THEN 1.0 ELSE 0.0 END) > 0.5 AS VARCHAR) FROM sample
+UNION ALL SELECT 'dates', 'n_distinct', CAST(count(DISTINCT stamp) AS VARCHAR) FROM days
+UNION ALL SELECT 'dates', 'first_day', min(day) FROM days
+UNION ALL SELECT 'dates', 'last_day', max(day) FROM days
+UNION ALL SELECT 'dates', 'as_of_share', CAST(round(avg(CASE WHEN day = '{AS_OF}' THEN 1.0 ELSE 0.0 END), 4) AS VARCHAR) FROM days
+UNION ALL SELECT 'dates', 'warn', CAST(avg(CASE WHEN day = '{AS_OF}' THEN 1.0 ELSE 0.0 END) > 0.5 OR count(DISTINCT stamp) <= 2 AS VARCHAR) FROM days""")
 oracle("missing_table", EDA, _missing("eda", EDA_COLUMNS))
 oracle("missing_after_selection", EDA + """,
 kept AS (SELECT * REPLACE (CASE WHEN rating <> 'Verdadero pero' THEN rating END AS rating)
@@ -486,6 +520,12 @@ oracle("per_step_difference", "", """
 SELECT event_id, round(value - lag(value, 1, 0.0) OVER (PARTITION BY user_id ORDER BY event_id), 4) AS per_step
 FROM events""")
 
+oracle("word_vector_frequencies", DATASET + f""",
+words AS (SELECT unnest(list_filter(regexp_extract_all(
+    regexp_replace(translate(lower(text), 'áéíóúüÁÉÍÓÚÜ', 'aeiouuAEIOUU'), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\S+'),
+    lambda t: regexp_full_match(t, '\\p{{L}}+') AND length(t) > 2 AND t NOT IN ({STOPWORDS}))) AS term FROM dataset)""", """
+SELECT term, count(*) AS n, CAST(100 AS INTEGER) AS dims FROM words GROUP BY 1 HAVING count(*) >= 2""")
+
 # --- modelling and evaluation
 
 oracle("class_weights", SPLITS + """,

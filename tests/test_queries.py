@@ -41,6 +41,6 @@ def test_query_equals_sql(spark, duck, name):
     assert _sorted([tuple(r) for r in df.collect()], df.columns) == _sorted(expected.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", ["recon_summary", "bootstrap_interval"])
+@pytest.mark.parametrize("name", ["bootstrap_interval"])
 def test_query_without_sql(spark, name):
     assert driver.queries()[name](spark, SF_DIR).count() > 0
