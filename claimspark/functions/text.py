@@ -53,6 +53,16 @@ def word_count(c: Column) -> Column:
     return F.array_size(words(c)).cast("long")
 
 
+def is_multiword(c: Column) -> Column:
+    """More than one word; stops reading at the second."""
+    any_space = SPACE + WIDE_SPACE
+    return c.rlike(f"[^{any_space}][{any_space}]+[^{any_space}]")
+
+
+def is_single_word(c: Column) -> Column:
+    return ~is_multiword(c) & c.rlike(f"[^{SPACE}{WIDE_SPACE}]")
+
+
 def contains_word(c: Column, word: str) -> Column:
     """The word occurs with no letter, number or underscore on either side, in any case.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from claimspark import domain
 from claimspark.functions.dates import LOCAL, wall_clock
 from claimspark.functions.labels import binary_label, rewrite
-from claimspark.functions.text import word_count
+from claimspark.functions.text import is_multiword
 from claimspark.operators.keyed import hash_rank_key, keep_first, stratified_cut
 from claimspark.session import stage
 from claimspark.sources.tables import write_table
@@ -40,7 +40,7 @@ def with_claim(claims: DataFrame, text: str = "claim_reviewed") -> DataFrame:
 
 def multiword(claims: DataFrame, text: str = "claim_reviewed") -> DataFrame:
     """Drop texts of a single token (URLs) and of none."""
-    return claims.filter(word_count(F.col(text)) > 1)
+    return claims.filter(is_multiword(F.col(text)))
 
 
 def with_known_label(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,6 +94,7 @@ def stratified_cut(
     name: str = "split",
     digits: int = 4,
     hashed: str | None = None,
+    sizes: Mapping[str, Sequence[int]] | None = None,
 ) -> DataFrame:
     """Assign each row to a part with exact, half-even rounded counts per stratum.
 
@@ -105,6 +106,7 @@ def stratified_cut(
     cut, and each row compares its hash with the few cut hashes of its stratum.
     ``values`` lists the strata, which bounds both broadcasts; rows of other strata are dropped.
     ``hashed`` names a column that already holds the hash, and is not part of the result.
+    ``sizes`` gives each stratum's row counts of all parts but the last, in place of shares.
     """
     order = F.col(hashed) if hashed else hash_rank_key(F.col(key), seed)
     rows = df.filter(F.col(strata).isin(*values)).withColumn("_hash", order)
@@ -114,8 +116,12 @@ def stratified_cut(
     upto = whole.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum("_rows").over(whole)
     cuts, cut = [], F.lit(0).cast("double")
-    for _, share in parts[:-1]:
-        cut = cut + F.bround(F.col("_total") * F.lit(share), 0)
+    for i, (_, share) in enumerate(parts[:-1]):
+        if sizes is None:
+            size = F.bround(F.col("_total") * F.lit(share), 0)
+        else:
+            size = F.coalesce(*[F.when(F.col(strata) == v, F.lit(float(n[i]))) for v, n in sizes.items()])
+        cut = cut + size
         cuts.append(cut)
     bounds = (
         buckets.withColumn("_high", F.sum("_rows").over(upto))

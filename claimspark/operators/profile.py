@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimspark import domain
 from claimspark.functions.dates import LOCAL, wall_clock
-from claimspark.functions.text import contains_word, word_count
+from claimspark.functions.text import contains_word, is_single_word, word_count
 from claimspark.operators.dataset import class_table
 
 # The percentiles of a length description.
@@ -185,7 +185,7 @@ def describe(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
 
 
 def single_token_texts(df: DataFrame, text: str) -> DataFrame:
-    return df.filter(word_count(F.col(text)) == 1)
+    return df.filter(is_single_word(F.col(text)))
 
 
 def length_histogram(df: DataFrame, by: str = "label", length: str = "n_words") -> DataFrame:

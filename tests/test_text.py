@@ -66,10 +66,12 @@ SPACES = " \t\n\r\x0b\x0c\x1c\x85\xa0\u2003\u3000"
 def test_white_space_rules(spark, values):
     df = spark.createDataFrame(list(enumerate(values)), "i int, t string")
     rows = df.select("i", text.words(F.col("t")).alias("w"), text.word_count(F.col("t")).alias("n"),
-                     text.squeeze(F.col("t")).alias("q"), text.strip_space(F.col("t")).alias("s")).collect()
+                     text.squeeze(F.col("t")).alias("q"), text.strip_space(F.col("t")).alias("s"),
+                     text.is_multiword(F.col("t")).alias("m"), text.is_single_word(F.col("t")).alias("o")).collect()
     for r in rows:
         t = values[r.i]
         assert (r.w, r.n, r.q, r.s) == (t.split(), len(t.split()), " ".join(t.split()), t.strip())
+        assert (r.m, r.o) == (len(t.split()) > 1, len(t.split()) == 1)
 
 
 def test_spanish_list_is_available(spark):
