@@ -27,13 +27,19 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, else a local one for tests."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
+
+    A session with a local master may run without the setting and gets a folder of its own;
+    any other session without it raises, as a machine-local folder would lose rows there.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="claimspark-")
     spark.sparkContext.setCheckpointDir(made)
     return made
