@@ -7,25 +7,53 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimspark.llm.packing import packed_documents
 from claimspark.llm.token_files import token_files
+from claimspark.llm.toxicity import toxicity_scores
+from claimspark.llm.warc import archived_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(_table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packed_documents(_table(spark, sf_dir, "documents"), tokenizer, end_id=1, capacity=2048)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     return token_files(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op5_packing": op5_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                sha1(coalesce(html, '')) AS h
+            FROM pages
+        ), f AS (SELECT h, min(page_id) AS first_page FROM p GROUP BY h)
+        SELECT page_id, payload_bytes,
+            array_to_string(list_transform(range(32), i -> substr(
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((('0x' || substr(h, 10 * (i // 8)::BIGINT + 1, 10))::UBIGINT
+                    >> (35 - 5 * (i % 8))::UBIGINT) & 31)::INTEGER, 1)), '') AS payload_digest,
+            CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first_page THEN first_page END AS refers_to
+        FROM p JOIN f USING (h)""",
+}

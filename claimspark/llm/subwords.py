@@ -2,22 +2,31 @@
 
 Both pre-tokenizers used here never join a non-space character with a following space, so a text
 may be cut before each run of white space without changing its ids. The cut pieces repeat a lot:
-a worker encodes a piece once, keeps its ids, and assembles texts by array gathers.
+a worker encodes a word once, keeps its ids, and assembles texts by array gathers.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 
 #: Distinct pieces a worker keeps before it starts afresh, which bounds its memory.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 #: Characters that are cut into pieces at once.
 CHUNK_CHARS = 2_000_000
 
+#: Letters without composition or case rules of their own, and marks that no pre-tokenizer joins
+#: to letters; a line feed may only stand alone behind a mark, as longer white space is cut otherwise.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "[.,;:!?&$%*|()]"
+SIMPLE = re.compile(f"(?:[{LETTERS}]+|{MARKS}+\n?)+")
+LATIN = re.compile(f"[{LETTERS}]+")
+RUNS = re.compile(f"[{LETTERS}]+|{MARKS}+\n?")
+
 
 def _pieces(text: str) -> list[str]:
     """Cut before each run of white space that follows a visible character."""
@@ -44,19 +53,40 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.limit = limit
+        self.lower = '"Lowercase"' in self.tokenizer.to_str()[: 1 << 16]
         self._clear()
 
     def _clear(self) -> None:
         self.spaced: dict[str, int] = {}  # by the piece without its leading space
         self.exact: dict[str, int] = {}
+        self.runs: dict[str, list[int]] = {}
         self.start, self.size, self.ids = array("q"), array("q"), array("I")
 
-    def _add(self, known: dict[str, int], keys: list[str], pieces: list[str]) -> None:
-        for key, encoded in zip(keys, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            known[key] = len(self.start)
-            self.start.append(len(self.ids))
-            self.size.append(len(encoded.ids))
-            self.ids.extend(encoded.ids)
+    def _runs(self, piece: str, lead: str) -> list[str]:
+        """Parts of a piece that are encoded alike anywhere: words and marks, or the piece itself."""
+        if piece[-1:] in ".," and piece[:-1].isalpha():  # the common case, without a pattern
+            runs = [piece[:-1], piece[-1]]
+        elif piece.isalpha() or not SIMPLE.fullmatch(piece):
+            runs = [piece]
+        else:
+            runs = RUNS.findall(piece)
+        if self.lower and all(r.isascii() or LATIN.fullmatch(r) for r in runs):
+            runs = [r.lower() for r in runs]
+        runs[0] = lead + runs[0]
+        return runs
+
+    def _add(self, known: dict[str, int], keys: list[str], lead: str) -> None:
+        """Encode new pieces, ``lead`` before each, run by run."""
+        runs = [self._runs(k, lead) for k in keys]
+        new = list(set().union(*runs).difference(self.runs))
+        for run, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.runs[run] = encoded.ids
+        known.update(zip(keys, range(len(self.start), len(self.start) + len(keys))))
+        ids = [self.runs[own[0]] if len(own) == 1 else sum(map(self.runs.get, own), []) for own in runs]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.start.frombytes((len(self.ids) + np.cumsum(size) - size).tobytes())
+        self.size.frombytes(size.tobytes())
+        self.ids.extend(chain.from_iterable(ids))
 
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.start) > self.limit:
@@ -68,12 +98,12 @@ class CachedEncoder:
             counts.append(len(cut))
             parts += cut
         new = [p for p in set(parts).difference(self.spaced) if p and not p[-1].isspace()]
-        self._add(self.spaced, new, [" " + p for p in new])
-        at = np.fromiter((self.spaced.get(p, -1) for p in parts), np.int64, len(parts))
+        self._add(self.spaced, new, " ")
+        at = np.fromiter(map(self.spaced.get, parts, repeat(-1)), np.int64, len(parts))
         exact = {t: _pieces(t) for t, f, n in zip(texts, firsts, counts) if (at[f : f + n] < 0).any()}
         heads = {parts[f] for f in firsts}.union(*exact.values()).difference(self.exact)
         heads = list(heads)
-        self._add(self.exact, heads, heads)
+        self._add(self.exact, heads, "")
         rows = []
         for text, first, count in zip(texts, firsts, counts):
             if text in exact:
