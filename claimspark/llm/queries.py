@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from claimspark.llm.ngram_join import ngram_components
 from claimspark.llm.packing import packed_documents
 from claimspark.llm.token_files import token_files
 from claimspark.llm.toxicity import toxicity_scores
@@ -19,6 +20,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(_table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packed_documents(_table(spark, sf_dir, "documents"), tokenizer, end_id=1, capacity=2048)
@@ -36,6 +41,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op4_ngram_join": op4_ngram_join,
     "op5_packing": op5_packing,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
