@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimspark.llm.ngram_join import ngram_components
 from claimspark.llm.packing import packed_documents
+from claimspark.llm.substrings import without_repeats
 from claimspark.llm.token_files import token_files
 from claimspark.llm.toxicity import toxicity_scores
 from claimspark.llm.warc import archived_pages
@@ -29,6 +30,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_table(spark, sf_dir, "documents"), tokenizer, end_id=1, capacity=2048)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_table(spark, sf_dir, "documents"), window=35).drop("kept")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -43,6 +48,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op4_ngram_join": op4_ngram_join,
     "op5_packing": op5_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
 }
