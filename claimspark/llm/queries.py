@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from claimspark.llm.ngram_join import ngram_components
 from claimspark.llm.packing import packed_documents
-from claimspark.llm.substrings import without_repeats
+from claimspark.llm.substrings import with_cuts
 from claimspark.llm.token_files import token_files
 from claimspark.llm.toxicity import toxicity_scores
 from claimspark.llm.warc import archived_pages
@@ -31,7 +32,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(_table(spark, sf_dir, "documents"), window=35).drop("kept")
+    cut = with_cuts(_table(spark, sf_dir, "documents"), window=35)
+    return cut.select("doc_id", "cuts.n_words", "cuts.n_removed", "cuts.kept_sha256")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +47,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op2_warc": op2_warc,
     "op4_ngram_join": op4_ngram_join,
     "op5_packing": op5_packing,

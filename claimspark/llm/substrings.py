@@ -178,28 +178,40 @@ def _kept(text: str, starts, window: int) -> tuple[list[str], int]:
     return [w for w, gone in zip(words, inside.tolist()) if not gone], int(inside.sum())
 
 
-def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, kept`` per row of ``docs`` (``doc_id, text``).
+def with_cuts(docs: DataFrame, window: int = 35) -> DataFrame:
+    """Every column of ``docs`` and the struct ``cuts``: ``n_words, n_removed, kept_sha256, kept``.
 
     A word goes if a window of ``window`` words that covers it also starts anywhere else, in the
     same text or another; all copies go. ``kept`` is the rest, joined by single spaces. Null and
-    empty texts have no words. Equal rows are rows of their own, so their long passages go; other
-    columns are ignored, and an empty table gives no rows.
+    empty texts have no words. Equal rows are rows of their own, so their long passages go. A column
+    ``cuts`` is replaced, and an empty table gives no rows.
     """
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text.alias("text"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    joined = same_key(rows, covered_words(rows, window), "left").select("doc_id", "text", "starts")
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    text, own = F.col("text").cast("string"), [c for c in docs.columns if c != "cuts"]
+    rows = docs.select(
+        F.struct(*own).alias("row"), F.col("doc_id").cast("long").cast("string").alias("doc_id"),
+        text.alias("text"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("digest"),
+    )
+    found = covered_words(rows.select("doc_id", "text", "digest"), window)
+
+    def cut(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, starts in frames:
             out = []
-            for doc_id, own, starts in zip(frame["doc_id"], _texts(frame), frame["starts"]):
-                kept, removed = _kept(own, starts, window)
-                joined_words = " ".join(kept)
-                digest = hashlib.sha256(joined_words.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((doc_id, len(kept) + removed, removed, digest, joined_words))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    schema = "doc_id string, n_words long, n_removed long, kept_sha256 string, kept string"
-    return joined.mapInPandas(cut, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
+            for own, at in zip(_texts({"text": texts}), starts):
+                kept, removed = _kept(own, at, window)
+                joined = " ".join(kept)
+                digest = hashlib.sha256(joined.encode("utf-8", "surrogatepass")).hexdigest()
+                out.append((len(kept) + removed, removed, digest, joined))
+            yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "kept"])
+
+    cuts = F.pandas_udf(cut, "n_words long, n_removed long, kept_sha256 string, kept string")
+    joined = same_key(rows, found, "left")
+    return joined.select("row", cuts("row.text", "starts").alias("cuts")).select("row.*", "cuts")
+
+
+def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """``docs`` with repeated passages cut from ``text``; texts without any stay as they are."""
+    cut = F.col("cuts.n_removed") > 0
+    rows = with_cuts(docs, window).withColumn("text", F.when(cut, F.col("cuts.kept")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.select(docs.columns)
