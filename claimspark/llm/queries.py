@@ -6,8 +6,12 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from claimspark.llm.attention import text_scores
+from claimspark.llm.ball_tree import top_k
 from claimspark.llm.ngram_join import ngram_components
 from claimspark.llm.packing import packed_documents
+from claimspark.llm.pieces import piece_digests
+from claimspark.llm.sketches import text_sketches
 from claimspark.llm.substrings import with_cuts
 from claimspark.llm.token_files import token_files
 from claimspark.llm.toxicity import toxicity_scores
@@ -18,10 +22,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(_table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_sketches(_table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -31,6 +43,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_table(spark, sf_dir, "documents"), tokenizer, end_id=1, capacity=2048)
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = with_cuts(_table(spark, sf_dir, "documents"), window=35)
     return cut.select("doc_id", "cuts.n_words", "cuts.n_removed", "cuts.kept_sha256")
@@ -46,17 +62,37 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_scores(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op1_top_k": op1_top_k,
     "op2_warc": op2_warc,
+    "op3_fingerprints": op3_fingerprints,
     "op4_ngram_join": op4_ngram_join,
     "op5_packing": op5_packing,
+    "op6_pieces": op6_pieces,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_top_k": """
+        WITH e AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), q AS (SELECT * FROM e WHERE vec_id % 50 = 0), s AS (
+            SELECT q.vec_id AS query_id, e.vec_id,
+                list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * e.v[i]))::BIGINT AS score
+            FROM q JOIN e ON q.vec_id <> e.vec_id
+        )
+        SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 5""",
     "op2_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
@@ -64,7 +100,7 @@ ORACLES: dict[str, str] = {
             FROM pages
         ), f AS (SELECT h, min(page_id) AS first_page FROM p GROUP BY h)
         SELECT page_id, payload_bytes,
-            array_to_string(list_transform(range(32), i -> substr(
+            array_to_string(list_transform(range(32), lambda i: substr(
                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                 1 + ((('0x' || substr(h, 10 * (i // 8)::BIGINT + 1, 10))::UBIGINT
                     >> (35 - 5 * (i % 8))::UBIGINT) & 31)::INTEGER, 1)), '') AS payload_digest,
