@@ -2,7 +2,8 @@
 
 The attention layer is trained in numpy on a bounded sample. Its softmax is factored: it predicts
 the class of the next id, and the id within its class follows the counts of all training texts,
-which also fix the classes. Windows of ``WINDOW`` ids overlap by ``OVERLAP``; every id is
+which also fix the classes. Pairs of ids, counted over all training texts, are tried first; the layer
+takes the share that their contexts leave to the unseen (Witten-Bell). Windows of ``WINDOW`` ids overlap by ``OVERLAP``; every id is
 scored once, in the first window that holds it past the overlap. Word counts grow with the
 corpus: only the most frequent, at most ``TOP_WORDS`` short ones, are broadcast, and the rest is joined.
 """
@@ -32,6 +33,8 @@ SAMPLE_ROWS = 1_000
 #: ... among those of at most so many characters. Counts and scores have neither bound.
 SAMPLE_CHARS = 20_000
 TOP_WORDS, TOP_CHARS = 50_000, 40
+#: Most frequent pairs of ids that are broadcast; the others are scored by the layer alone.
+TOP_PAIRS = 1_000_000
 #: Windows that are scored together.
 GROUP = 512
 FOLDS = 7
@@ -123,29 +126,45 @@ def windows(ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return before[at], ids[at].astype(np.int64), new
 
 
-def log_probabilities(model: Attention, of: np.ndarray, share: np.ndarray, texts: list[np.ndarray], start: int) -> np.ndarray:
-    """log10 probability per list of ids."""
-    total, held, owners, waiting = np.zeros(len(texts)), [], [], 0
-
-    def flush():
-        given, target, new = (np.concatenate(x) for x in zip(*held))
-        owner = np.concatenate(owners)
-        for i in range(0, len(given), GROUP):
-            logs, _ = model.forward(given[i : i + GROUP])
-            aim, real = target[i : i + GROUP], new[i : i + GROUP]
-            each = np.take_along_axis(logs, of[aim][..., None], 2)[..., 0] / np.log(10) + share[aim]
-            np.add.at(total, owner[i : i + GROUP], (each * real).sum(axis=1))
-
-    for i, ids in enumerate(texts):
-        held.append(windows(ids, start))
-        owners.append(np.full(len(held[-1][0]), i))
-        waiting += len(owners[-1])
-        if waiting >= 4 * GROUP:
+class Scorer:
+    """The attention layer below counted pairs of ids."""
+
+    def __init__(self, model: Attention, of, share, keys, counts, seen, kinds):
+        self.model, self.of, self.share = model, of, share
+        self.keys, self.counts, self.seen, self.kinds = keys, counts, seen, kinds
+
+    def each(self, given: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log10 probability of every target."""
+        logs, _ = self.model.forward(given)
+        below = np.take_along_axis(logs, self.of[target][..., None], 2)[..., 0] / np.log(10) + self.share[target]
+        key = given * len(self.share) + target
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        count = np.where(self.keys[at] == key, self.counts[at], 0) if len(self.keys) else np.zeros(key.shape)
+        seen, kinds = self.seen[given], self.kinds[given]
+        whole = np.maximum(1, seen + kinds)
+        return np.log10(count / whole + np.where(seen > 0, kinds / whole, 1) * 10.0**below)
+
+    def totals(self, texts: list[np.ndarray], start: int) -> np.ndarray:
+        """log10 probability per list of ids."""
+        total, held, owners, waiting = np.zeros(len(texts)), [], [], 0
+
+        def flush():
+            given, target, new = (np.concatenate(x) for x in zip(*held))
+            owner = np.concatenate(owners)
+            for i in range(0, len(given), GROUP):
+                part = slice(i, i + GROUP)
+                np.add.at(total, owner[part], (self.each(given[part], target[part]) * new[part]).sum(axis=1))
+
+        for i, ids in enumerate(texts):
+            held.append(windows(ids, start))
+            owners.append(np.full(len(held[-1][0]), i))
+            waiting += len(owners[-1])
+            if waiting >= 4 * GROUP:
+                flush()
+                held, owners, waiting = [], [], 0
+        if held:
             flush()
-            held, owners, waiting = [], [], 0
-    if held:
-        flush()
-    return total
+        return total
 
 
 def text_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -171,20 +190,24 @@ def text_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
     size = encoder(tokenizer).tokenizer.get_vocab_size()
     end = size - 1
 
-    def count_ids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = np.zeros(size, np.int64)
+    def count_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            pairs = [np.empty(0, np.int64)]
             for _, ids in encoder(tokenizer).encode(frame["text"].tolist()):
-                own += np.bincount(ids, minlength=size) if len(ids) > size else 0
-                if len(ids) <= size:
-                    np.add.at(own, ids, 1)
-                own[end] += 1
-        yield pd.DataFrame({"id": np.flatnonzero(own), "c": own[own > 0]})
-
-    found = train.select("text").mapInPandas(count_ids, "id int, c long").groupBy("id").agg(F.sum("c").alias("c"))
-    frequency = np.zeros(size, np.int64)
-    for r in found.collect():  # at most one row per id of the vocabulary
+                ids = np.concatenate([[size], ids, [end]]).astype(np.int64)
+                pairs.append(ids[:-1] * size + ids[1:])
+            keys, times = np.unique(np.concatenate(pairs), return_counts=True)
+            yield pd.DataFrame({"key": keys, "c": times})
+
+    pairs = train.select("text").mapInPandas(count_pairs, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    pairs = stage(pairs, "pairs")
+    frequency, seen, kinds_after = np.zeros(size, np.int64), np.zeros(size + 1), np.zeros(size + 1)
+    # At most one row per id of the vocabulary each.
+    for r in pairs.groupBy((F.col("key") % size).alias("id")).agg(F.sum("c").alias("c")).collect():
         frequency[r["id"]] = r["c"]
+    for r in pairs.groupBy(F.floor(F.col("key") / size).alias("id")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        seen[r["id"]], kinds_after[r["id"]] = r["c"], r["n"]
+    most = pairs.orderBy(F.desc("c"), "key").limit(TOP_PAIRS).toPandas().sort_values("key")
     of, share = classes(frequency)
 
     sample = train.filter(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_ROWS)
@@ -194,13 +217,14 @@ def text_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
         parts = [windows(np.append(ids, end), size) for _, ids in encoder(tokenizer).encode(texts)]
         given, target, new = (np.concatenate(x) for x in zip(*parts))
         model.train(given, of[target], new.astype(np.float32))
-    shared = docs.sparkSession.sparkContext.broadcast((model, of, share, top))
+    net = Scorer(model, of, share, most["key"].to_numpy(np.int64), most["c"].to_numpy(np.int64), seen, kinds_after)
+    shared = docs.sparkSession.sparkContext.broadcast((net, top))
 
     def score(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        net, of, share, top = shared.value
+        net, top = shared.value
         for texts in frames:
             ids = [np.append(x, end).astype(np.int64) for _, x in encoder(tokenizer).encode(texts.tolist())]
-            out = pd.DataFrame({"score": log_probabilities(net, of, share, ids, size)})
+            out = pd.DataFrame({"score": net.totals(ids, size)})
             n, known, base, rare = [], [], [], []
             for text in texts:
                 own = WORD.findall(text)
