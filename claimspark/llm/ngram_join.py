@@ -45,19 +45,23 @@ def _needed(n: Column, percent: int) -> Column:
 
 
 def _classes(n: Column) -> Column:
-    """Number of token classes for sets of ``n``: a power of two between n/16 and n/8."""
-    return F.greatest(F.lit(1), F.pow(F.lit(2), F.floor(F.log2(n.cast("double"))) - 3).cast("int"))
+    """Number of token classes for sets of ``n``: a power of two between n/32 and n/16."""
+    return F.greatest(F.lit(1), F.pow(F.lit(2), F.floor(F.log2(n.cast("double"))) - 4).cast("int"))
 
 
 def _largest(n: Column, percent: int) -> Column:
     return F.floor(n * 100 / percent).cast("int")
 
 
-def _keys(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """``key, id, n``: everything a set is indexed by and that another set shares."""
+def _keys(sets: DataFrame, classes: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """``key, id, n``: everything a set is indexed by and that another set shares.
+
+    Prefixes are cut before they meet ``classes``, the ids of the distinct sets.
+    """
     n = F.col("n")
     length = _classes(_largest(n, percent)) + n - _needed(n, percent) + 1
-    prefix = sets.select("id", "n", F.explode(F.slice("tokens", F.lit(1), length)).alias("token"))
+    prefix = sets.select("id", "n", F.slice("tokens", F.lit(1), length).alias("prefix"))
+    prefix = prefix.hint("merge").join(classes.select("id"), "id", "left_semi").select("id", "n", F.explode("prefix").alias("token"))
     prefix = stage(prefix, "prefixes")
     counts = prefix.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     known = stage(prefix.hint("merge").join(counts, "token"), "prefix-counts")
@@ -112,10 +116,10 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def _linked(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
+def _linked(sets: DataFrame, classes: DataFrame, percent: int, frequent: int) -> DataFrame:
     """Enough links between distinct sets to connect every component."""
     smallest = percent // max(1, 100 - percent) if percent < 100 else 1 << 30
-    keys = _keys(sets.filter(F.col("n") >= smallest), percent, frequent)
+    keys = _keys(sets.filter(F.col("n") >= smallest), classes, percent, frequent)
     leads = keys.groupBy("key").agg(
         F.min(F.struct("id", "n")).alias("l1"),
         F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("l2"),
@@ -156,8 +160,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, frequen
     rows = stage(rows, "shingles")
     some = rows.filter("n > 0")
     classes = stage(some.groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("least")), "classes")
-    sets = some.select("id", "n", "tokens").hint("merge").join(classes.select("id"), "id", "left_semi")
-    found = components(_linked(sets, percent, frequent))
+    found = components(_linked(some.select("id", "n", "tokens"), classes, percent, frequent))
     named = classes.hint("merge").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.hint("merge").join(least, "component").select("digest", "component_id")
