@@ -17,9 +17,9 @@ def one(spark, fn, *values):
 @pytest.mark.parametrize(
     "value, expected",
     [
-        ("Verdadero pero engañoso", "Verdadero pero"),
-        ("Falso Falso: la afirmación es incorrecta", "Falso"),
-        ("un texto sin veredicto conocido", None),
+        ("Chequeo del martes: verdadero pero incompleto", "Verdadero pero"),
+        ("Falso. El puente no se cayó; falso también el video", "Falso"),
+        ("La lluvia llegó temprano a la costa", None),
         ("CHEQUEO MÚLTIPLE: algo", "Chequeo Múltiple"),
         ("falsos amigos", None),
         ("Falso: es verdadero que algo", "Verdadero"),
