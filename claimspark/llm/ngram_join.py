@@ -11,6 +11,9 @@ sizes its partners may have.
 Equal sets are one class before anything is compared. A key's sets are compared with two leaders
 first; after that only sets of different components are, so a group of near copies never yields all
 its pairs, and no link that could join two components is left out.
+
+Only prefixes are written. A candidate pair is first bounded by its two prefixes; the full sets are
+made again from the texts, and only for pairs that pass.
 """
 
 from __future__ import annotations
@@ -53,16 +56,15 @@ def _largest(n: Column, percent: int) -> Column:
     return F.floor(n * 100 / percent).cast("int")
 
 
-def _keys(sets: DataFrame, classes: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """``key, id, n``: everything a set is indexed by and that another set shares.
+def _prefix_length(n: Column, percent: int) -> Column:
+    """Tokens of a set of ``n`` that any set it links with may be looked up by."""
+    return _classes(_largest(n, percent)) + n - _needed(n, percent) + 1
 
-    Prefixes are cut before they meet ``classes``, the ids of the distinct sets.
-    """
+
+def _keys(prefixes: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """``key, id, n``: everything a set is indexed by and that another set shares."""
     n = F.col("n")
-    length = _classes(_largest(n, percent)) + n - _needed(n, percent) + 1
-    prefix = sets.select("id", "n", F.slice("tokens", F.lit(1), length).alias("prefix"))
-    prefix = prefix.hint("merge").join(classes.select("id"), "id", "left_semi").select("id", "n", F.explode("prefix").alias("token"))
-    prefix = stage(prefix, "prefixes")
+    prefix = prefixes.select("id", "n", F.explode_outer("prefix").alias("token"))
     counts = prefix.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     known = stage(prefix.hint("merge").join(counts, "token"), "prefix-counts")
     single = known.filter(F.col("df") <= frequent).select(F.col("token").alias("key"), "id", "n")
@@ -81,6 +83,22 @@ def _fits(n: str, m: str, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def possible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that may link, by what their prefixes show.
+
+    Up to the smaller of the two last tokens both prefixes are complete, so what they share there
+    and all that is left of the smaller set bound the overlap.
+    """
+    left = prefixes.select(F.col("id").alias("a"), F.col("n").alias("_n"), F.col("prefix").alias("_p"))
+    right = prefixes.select(F.col("id").alias("b"), F.col("n").alias("_m"), F.col("prefix").alias("_q"))
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
+    end = F.least(F.element_at("_p", -1), F.element_at("_q", -1))
+    both = both.select("a", "b", "_n", "_m", "_p", "_q", end.alias("_end"))
+    upto = lambda c: F.size(F.filter(c, lambda t: t <= F.col("_end")))
+    most = F.size(F.array_intersect("_p", "_q")) + F.least(F.col("_n") - upto("_p"), F.col("_m") - upto("_q"))
+    return both.filter(most * 100 >= (F.col("_n") + F.col("_m") - most) * percent).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of set ids whose sets link."""
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("_x"))
@@ -116,10 +134,9 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def _linked(sets: DataFrame, classes: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """Enough links between distinct sets to connect every component."""
-    smallest = percent // max(1, 100 - percent) if percent < 100 else 1 << 30
-    keys = _keys(sets.filter(F.col("n") >= smallest), classes, percent, frequent)
+def _linked(prefixes: DataFrame, sets_of, percent: int, frequent: int) -> DataFrame:
+    """Enough links between distinct sets to connect every component; ``sets_of`` gives ids their sets."""
+    keys = _keys(prefixes, percent, frequent)
     leads = keys.groupBy("key").agg(
         F.min(F.struct("id", "n")).alias("l1"),
         F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("l2"),
@@ -129,11 +146,9 @@ def _linked(sets: DataFrame, classes: DataFrame, percent: int, frequent: int) ->
     tried = keys.hint("merge").join(leads, "key").filter((F.col("id") != F.col("lead.id")) & _fits("n", "lead.n", percent))
     tried = tried.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
     tried = stage(tried, "led-pairs")
-    # Every set that may still meet another shares a key with it, so only these sets move again.
-    shared = keys.hint("merge").join(leads.select("key").distinct(), "key", "left_semi")
-    involved = stage(sets.hint("merge").join(shared.select("id").distinct(), "id", "left_semi"), "involved")
-    first = stage(verified(tried, involved, percent), "first-links")
+    first = stage(_checked(tried, prefixes, sets_of, percent, "first"), "first-links")
     found = stage(components(first), "first-components")
+    shared = keys.hint("merge").join(leads.select("key").distinct(), "key", "left_semi")
     marked = shared.hint("merge").join(found, "id", "left")
     marked = marked.withColumn("component", F.coalesce("component", "id"))
     split = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
@@ -142,7 +157,14 @@ def _linked(sets: DataFrame, classes: DataFrame, percent: int, frequent: int) ->
     rest = marked.withColumnRenamed("id", "a").hint("merge").join(other, "key")
     rest = rest.filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _fits("n", "m", percent))
     rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    return first.unionByName(verified(rest, involved, percent))
+    return first.unionByName(_checked(rest, prefixes, sets_of, percent, "rest"))
+
+
+def _checked(pairs: DataFrame, prefixes: DataFrame, sets_of, percent: int, name: str) -> DataFrame:
+    """The pairs that link: bounded by prefixes, then compared in full."""
+    pairs = stage(possible(pairs, prefixes, percent), f"{name}-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return verified(pairs, stage(sets_of(ids), f"{name}-sets"), percent)
 
 
 def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
@@ -154,13 +176,26 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, frequen
     null ``doc_id`` takes part in links and is named only where its component has no other. Rows of
     one ``doc_id`` are kept each. Other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), shingle_set(F.col("text"), words).alias("tokens"))
-    rows = rows.select("*", F.size("tokens").alias("n"), F.monotonically_increasing_id().alias("id"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2(F.concat_ws(",", "tokens"), 256)))
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    # Names a row by its content, so that copies under ids of their own do not meet in one task.
+    source = F.unhex(F.sha2(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), text), 256)).alias("source")
+    rows = docs.select(doc_id, source, shingle_set(text, words).alias("tokens")).withColumn("n", F.size("tokens"))
+    smallest = percent // max(1, 100 - percent) if percent < 100 else 1 << 30  # below, only equal sets link
+    prefix = F.when(F.col("n") >= smallest, F.slice("tokens", F.lit(1), _prefix_length(F.col("n"), percent)))
+    digest = F.unhex(F.sha2(F.concat_ws(",", "tokens"), 256)).alias("digest")
+    rows = rows.select("doc_id", "source", "n", digest, prefix.alias("prefix"), F.monotonically_increasing_id().alias("id"))
     rows = stage(rows, "shingles")
     some = rows.filter("n > 0")
     classes = stage(some.groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("least")), "classes")
-    found = components(_linked(some.select("id", "n", "tokens"), classes, percent, frequent))
+    prefixes = some.filter("prefix is not null").select("id", "n", "prefix").hint("merge")
+    prefixes = stage(prefixes.join(classes.select("id"), "id", "left_semi"), "prefixes")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        asked = rows.select("id", "source").hint("merge").join(ids, "id", "left_semi")
+        whole = docs.select(source, text.alias("text")).hint("merge").join(asked, "source")
+        return whole.select("id", shingle_set(F.col("text"), words).alias("tokens"))
+
+    found = components(_linked(prefixes, sets_of, percent, frequent))
     named = classes.hint("merge").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.hint("merge").join(least, "component").select("digest", "component_id")
