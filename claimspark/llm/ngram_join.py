@@ -12,14 +12,20 @@ Equal sets are one class before anything is compared. A key's sets are compared
 first; after that only sets of different components are, so a group of near copies never yields all
 its pairs, and no link that could join two components is left out.
 
-Only prefixes are written. A candidate pair is first bounded by its two prefixes; the full sets are
-made again from the texts, and only for pairs that pass.
+Only prefixes and parity sketches are written. A sketch has about one bit per token, flipped by each
+token that falls on it; two sets differ in at least as many tokens as their sketches do in bits. The
+full sets are made again from the texts, and only for pairs whose sketches may link.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from claimspark.session import stage
 
@@ -83,20 +89,38 @@ def _fits(n: str, m: str, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def possible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that may link, by what their prefixes show.
+@F.pandas_udf(ArrayType(LongType()))
+def parity(sets: pd.Series) -> pd.Series:
+    """Sketch of each set: a power of two of bits, at least one per token, as 64-bit words."""
 
-    Up to the smaller of the two last tokens both prefixes are complete, so what they share there
-    and all that is left of the smaller set bound the overlap.
-    """
-    left = prefixes.select(F.col("id").alias("a"), F.col("n").alias("_n"), F.col("prefix").alias("_p"))
-    right = prefixes.select(F.col("id").alias("b"), F.col("n").alias("_m"), F.col("prefix").alias("_q"))
+    def one(tokens: np.ndarray) -> np.ndarray:
+        bits = max(64, 1 << (len(tokens) - 1).bit_length())
+        odd = np.bincount(np.asarray(tokens, np.int64) & (bits - 1), minlength=bits) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+    return sets.map(one, na_action="ignore")
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that may link, by the sizes and ``parity`` of their sets."""
+    left = sketches.select(F.col("id").alias("a"), F.col("n").alias("_n"), F.col("parity").alias("_p"))
+    right = sketches.select(F.col("id").alias("b"), F.col("n").alias("_m"), F.col("parity").alias("_q"))
     both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
-    end = F.least(F.element_at("_p", -1), F.element_at("_q", -1))
-    both = both.select("a", "b", "_n", "_m", "_p", "_q", end.alias("_end"))
-    upto = lambda c: F.size(F.filter(c, lambda t: t <= F.col("_end")))
-    most = F.size(F.array_intersect("_p", "_q")) + F.least(F.col("_n") - upto("_p"), F.col("_m") - upto("_q"))
-    return both.filter(most * 100 >= (F.col("_n") + F.col("_m") - most) * percent).select("a", "b")
+    size = F.least(F.size("_p"), F.size("_q"))
+
+    def folded(sketch: str) -> Column:
+        """The sketch at the smaller size: words a multiple of it apart are XORed."""
+        part = lambda i: F.slice(sketch, i * size + 1, size)
+        more = F.expr(f"sequence(1, size({sketch}) div least(size(_p), size(_q)) - 1)")
+        xor = lambda x, y: x.bitwiseXOR(y)
+        wide = F.aggregate(more, part(F.lit(0)), lambda held, i: F.zip_with(held, part(i), xor))
+        return F.when(F.size(sketch) == size, F.col(sketch)).otherwise(wide)
+
+    flips = F.zip_with(folded("_p"), folded("_q"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(flips, F.lit(0), lambda held, x: held + x)
+    # shared = (n + m - differ) / 2 at most, and the union is the rest
+    total = F.col("_n") + F.col("_m")
+    return both.filter((total - differ) * 100 >= (total + differ) * percent).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -134,7 +158,7 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def _linked(prefixes: DataFrame, sets_of, percent: int, frequent: int) -> DataFrame:
+def _linked(prefixes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, frequent: int) -> DataFrame:
     """Enough links between distinct sets to connect every component; ``sets_of`` gives ids their sets."""
     keys = _keys(prefixes, percent, frequent)
     leads = keys.groupBy("key").agg(
@@ -160,9 +184,9 @@ def _linked(prefixes: DataFrame, sets_of, percent: int, frequent: int) -> DataFr
     return first.unionByName(_checked(rest, prefixes, sets_of, percent, "rest"))
 
 
-def _checked(pairs: DataFrame, prefixes: DataFrame, sets_of, percent: int, name: str) -> DataFrame:
-    """The pairs that link: bounded by prefixes, then compared in full."""
-    pairs = stage(possible(pairs, prefixes, percent), f"{name}-pairs")
+def _checked(pairs: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, name: str) -> DataFrame:
+    """The pairs that link: bounded by sketches, then compared in full."""
+    pairs = stage(possible(pairs, sketches, percent), f"{name}-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     return verified(pairs, stage(sets_of(ids), f"{name}-sets"), percent)
 
@@ -182,12 +206,13 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, frequen
     rows = docs.select(doc_id, source, shingle_set(text, words).alias("tokens")).withColumn("n", F.size("tokens"))
     smallest = percent // max(1, 100 - percent) if percent < 100 else 1 << 30  # below, only equal sets link
     prefix = F.when(F.col("n") >= smallest, F.slice("tokens", F.lit(1), _prefix_length(F.col("n"), percent)))
+    sketch = parity(F.when(F.col("n") >= smallest, F.col("tokens")))
     digest = F.unhex(F.sha2(F.concat_ws(",", "tokens"), 256)).alias("digest")
-    rows = rows.select("doc_id", "source", "n", digest, prefix.alias("prefix"), F.monotonically_increasing_id().alias("id"))
+    rows = rows.select("doc_id", "source", "n", digest, prefix.alias("prefix"), sketch.alias("parity"), F.monotonically_increasing_id().alias("id"))
     rows = stage(rows, "shingles")
     some = rows.filter("n > 0")
     classes = stage(some.groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("least")), "classes")
-    prefixes = some.filter("prefix is not null").select("id", "n", "prefix").hint("merge")
+    prefixes = some.filter("prefix is not null").select("id", "n", "prefix", "parity").hint("merge")
     prefixes = stage(prefixes.join(classes.select("id"), "id", "left_semi"), "prefixes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
