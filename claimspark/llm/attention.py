@@ -1,15 +1,17 @@
 """Language-model scores by causal self-attention over subword ids, and word unigram scores.
 
-The attention layer is trained in numpy on a bounded sample. Its softmax is factored: it predicts
-the class of the next id, and the id within its class follows the counts of all training texts,
-which also fix the classes. Pairs of ids, counted over all training texts, are tried first; the layer
-takes the share that their contexts leave to the unseen (Witten-Bell). Windows of ``WINDOW`` ids overlap by ``OVERLAP``; every id is
+The attention layer learns from every window of every training text: each task trains a replica in numpy,
+and Spark averages the replicas after each round. Its softmax is a Huffman tree over all ids, whose
+nodes start from the counts of the training texts and learn a vector each; no other model takes part.
+Windows of ``WINDOW`` ids overlap by ``OVERLAP``; every id is
 scored once, in the first window that holds it past the overlap. Word counts grow with the
 corpus: only the most frequent, at most ``TOP_WORDS`` short ones, are broadcast, and the rest is joined.
 """
 
 from __future__ import annotations
 
+import copy
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -26,92 +28,215 @@ from claimspark.session import stage
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW, OVERLAP = 48, 12
 DIM = 16
-OWN_CLASSES, CLASSES = 96, 128
-STEPS, BATCH, RATE = 400, 64, 0.01
-#: The attention layer is fitted to so many training texts, the first by a hash of the id ...
-SAMPLE_ROWS = 1_000
-#: ... among those of at most so many characters. Counts and scores have neither bound.
-SAMPLE_CHARS = 20_000
+BATCH, RATE = 64, 0.01
+#: Rounds of a pass over the training texts, after each of which the replicas are averaged.
+ROUNDS = 3
+#: Passes are repeated until the model has seen so many ids, at most so often; the first is always whole.
+FEW_IDS, MAX_PASSES = 3_000_000, 8
+#: Ids of a long text that are cut into windows at once, and windows that are shuffled together.
+SPAN, HELD = 100_000, 4_096
+#: Rows of the table that are averaged together.
+BLOCK = 1_024
 TOP_WORDS, TOP_CHARS = 50_000, 40
-#: Most frequent pairs of ids that are broadcast; the others are scored by the layer alone.
-TOP_PAIRS = 1_000_000
 #: Windows that are scored together.
-GROUP = 512
+GROUP = 64
 FOLDS = 7
 
 
-def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class and log10 share within it per id: frequent ids alone, the others by equal mass."""
-    order = np.argsort(-counts, kind="stable")
-    mass = (counts + 1.0)[order]
-    of = np.empty(len(counts), np.int64)
-    own = min(OWN_CLASSES, len(order))
-    of[order[:own]] = np.arange(own)
-    rest = np.cumsum(mass[own:])
-    if len(rest):
-        of[order[own:]] = own + np.minimum(CLASSES - OWN_CLASSES - 1, (rest / rest[-1] * (CLASSES - OWN_CLASSES)).astype(int))
-    total = np.bincount(of, counts + 1.0, CLASSES)
-    return of, np.log10((counts + 1.0) / total[of])
+class Tree:
+    """Huffman tree over the ids: the path of each id, and the log odds of its counts at every node."""
+
+    def __init__(self, counts: np.ndarray):
+        mass = (np.asarray(counts, np.float64) + 1.0).tolist()
+        ids = len(mass)
+        heap = [(m, i) for i, m in enumerate(mass)]
+        heapq.heapify(heap)
+        above, right = np.zeros(2 * ids - 1, np.int64), np.zeros(2 * ids - 1, np.int8)
+        self.bias = np.zeros(max(1, ids - 1), np.float32)
+        for node in range(ids, 2 * ids - 1):
+            (x, a), (y, b) = heapq.heappop(heap), heapq.heappop(heap)
+            above[a] = above[b] = node
+            right[b] = 1
+            self.bias[node - ids] = np.log(y) - np.log(x)
+            heapq.heappush(heap, (x + y, node))
+        of, nodes, sides, at = [], [], [], np.arange(ids)
+        live = at < 2 * ids - 2
+        while live.any():
+            of.append(np.flatnonzero(live))
+            nodes.append(above[at[live]] - ids)
+            sides.append(right[at[live]])
+            at = np.where(live, above[at], at)
+            live = at < 2 * ids - 2
+        of, nodes, sides = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (of, nodes, sides))
+        order = np.argsort(of, kind="stable")
+        self.nodes, self.sign = nodes[order].astype(np.int32), (2.0 * sides[order] - 1).astype(np.float32)
+        self.size = np.bincount(of, minlength=ids)
+        self.start = np.cumsum(self.size) - self.size
+
+    def paths(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position in ``target``, node and sign of every step to the targets."""
+        size = self.size[target]
+        owner = np.repeat(np.arange(len(target)), size)
+        at = np.arange(len(owner)) + np.repeat(self.start[target] - (np.cumsum(size) - size), size)
+        return owner, self.nodes[at], self.sign[at]
+
+
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of their rows of ``values``."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(values[order], starts, axis=0)
 
 
 class Attention:
-    """One causal self-attention head with learned positions, from ids to next-class logits."""
+    """One causal self-attention head with learned positions, from ids to the probability of the next.
 
-    def __init__(self, ids: int, seed: int = 1):
-        rng = np.random.default_rng(seed)
-        shape = {"embed": (ids + 1, DIM), "place": (WINDOW, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "out": (DIM, CLASSES), "last": (DIM, CLASSES), "bias": (CLASSES,)}
-        self.p = {n: rng.normal(0, 0.0 if n == "bias" else 0.2, s).astype(np.float32) for n, s in shape.items()}
+    All parameters are rows of one table: embeddings, tree nodes, positions and the five matrices.
+    """
+
+    def __init__(self, tree: Tree, seed: int = 1):
+        self.tree, self.ids = tree, len(tree.size)
+        rows = {"embed": self.ids + 1, "node": len(tree.bias), "place": WINDOW, **dict.fromkeys(("q", "k", "v", "out", "last"), DIM)}
+        self.at = dict(zip(rows, np.cumsum([0, *rows.values()]).tolist()))
+        self.table = np.random.default_rng(seed).normal(0, 0.2, (sum(rows.values()), DIM)).astype(np.float32)
+        self.table[self.at["node"] : self.at["place"]] = 0  # the probabilities of the counts, to start with
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
+    def part(self, name: str) -> np.ndarray:
+        start = self.at[name]
+        return self.table[start : start + {"embed": self.ids + 1, "node": len(self.tree.bias), "place": WINDOW}.get(name, DIM)]
+
     def forward(self, ids: np.ndarray):
         """``ids``: windows of inputs, where position t predicts the id after it."""
-        p, t = self.p, ids.shape[1]
-        x = p["embed"][ids] + p["place"][:t]
-        q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
+        p, t = self.part, ids.shape[1]
+        x = p("embed")[ids] + p("place")[:t]
+        q, k, v = x @ p("q"), x @ p("k"), x @ p("v")
         a = q @ k.swapaxes(1, 2) * np.float32(DIM**-0.5) + self.mask[:t, :t]
         a = np.exp(a - a.max(axis=2, keepdims=True))
         a /= a.sum(axis=2, keepdims=True)
         h = a @ v
-        z = h @ p["out"] + x @ p["last"] + p["bias"]
-        z -= z.max(axis=2, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=2, keepdims=True)), (x, q, k, v, a, h)
-
-    def gradients(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        p, scale = self.p, np.float32(DIM**-0.5)
-        logs, (x, q, k, v, a, h) = self.forward(ids)
-        dz = np.exp(logs)
-        np.put_along_axis(dz, target[..., None], np.take_along_axis(dz, target[..., None], 2) - 1, 2)
-        dz *= (weight / max(1.0, weight.sum()))[..., None].astype(np.float32)
-        g = {"bias": dz.sum((0, 1)), "out": np.einsum("btd,btc->dc", h, dz), "last": np.einsum("btd,btc->dc", x, dz)}
-        dh = dz @ p["out"].T
+        return h @ p("out") + x @ p("last"), (x, q, k, v, a, h)
+
+    def steps(self, z: np.ndarray, target: np.ndarray):
+        """Owner, node, sign and signed logit of every step from the rows of ``z`` to ``target``."""
+        owner, node, sign = self.tree.paths(target)
+        logit = np.einsum("nd,nd->n", z[owner], self.part("node")[node]) + self.tree.bias[node]
+        return owner, node, sign, sign * logit
+
+    def logs(self, ids: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log10 probability of every target; over all ids they sum to 1."""
+        owner, _, _, logit = self.steps(self.forward(ids)[0].reshape(-1, DIM), target.ravel())
+        lost = np.maximum(-logit, 0) + np.log1p(np.exp(-np.abs(logit)))
+        return -np.bincount(owner, lost, target.size).reshape(target.shape) / np.log(10)
+
+    def gradients(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the table that the targets of a weight bear on, and their gradient of the mean loss."""
+        p, scale, t = self.part, np.float32(DIM**-0.5), ids.shape[1]
+        z, (x, q, k, v, a, h) = self.forward(ids)
+        asked = np.flatnonzero(weight.ravel())
+        flat = z.reshape(-1, DIM)[asked]
+        owner, node, sign, logit = self.steps(flat, target.ravel()[asked])
+        slope = (-sign / (1 + np.exp(np.clip(logit, -60, 60))) / max(1, len(asked))).astype(np.float32)[:, None]
+        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        dz = np.zeros((z.size // DIM, DIM), np.float32)
+        dz[asked] = np.add.reduceat(slope * p("node")[node], starts, axis=0)
+        dz = dz.reshape(z.shape)
+        dh = dz @ p("out").T
         da, dv = dh @ v.swapaxes(1, 2), a.swapaxes(1, 2) @ dh
         ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * scale
         dq, dk = ds @ k, ds.swapaxes(1, 2) @ q
-        dx = dz @ p["last"].T + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = np.einsum("bti,btj->ij", x, d)
-        g["place"] = np.zeros_like(p["place"])
-        g["place"][: ids.shape[1]] = dx.sum(0)
-        g["embed"] = (ids, dx)
-        return g
-
-    def train(self, windows: np.ndarray, target: np.ndarray, weight: np.ndarray, seed: int = 2) -> None:
-        """Adam; rows of the embedding that a batch lacks are left alone."""
-        rng, state = np.random.default_rng(seed), {n: [np.zeros_like(v), np.zeros_like(v)] for n, v in self.p.items()}
-        for step in range(1, STEPS + 1):
-            pick = rng.integers(0, len(windows), BATCH)
-            for name, grad in self.gradients(windows[pick], target[pick], weight[pick]).items():
-                rows = slice(None)
-                if name == "embed":
-                    rows, back = np.unique(grad[0], return_inverse=True)
-                    total = np.zeros((len(rows), DIM), np.float32)
-                    np.add.at(total, back.ravel(), grad[1].reshape(-1, DIM))
-                    grad = total
-                mean, square = state[name]
-                mean[rows] = 0.9 * mean[rows] + 0.1 * grad
-                square[rows] = 0.99 * square[rows] + 0.01 * grad * grad
-                move = mean[rows] / (1 - 0.9**step) / (np.sqrt(square[rows] / (1 - 0.99**step)) + 1e-8)
-                self.p[name][rows] -= np.float32(RATE) * move.astype(np.float32)
+        dx = dz @ p("last").T + dq @ p("q").T + dk @ p("k").T + dv @ p("v").T
+        wide = lambda m: m.reshape(-1, DIM)
+        seen, moved = _sums(ids.ravel(), wide(dx))
+        met, drawn = _sums(node, slope * flat[owner])
+        place = np.zeros((WINDOW, DIM), np.float32)
+        place[:t] = dx.sum(0)
+        dense = [wide(x).T @ wide(d) for d in (dq, dk, dv)] + [wide(h).T @ wide(dz), wide(x).T @ wide(dz)]
+        rows = [seen, met + self.at["node"], np.arange(self.at["place"], len(self.table))]
+        return np.concatenate(rows), np.concatenate([moved, drawn, place, *dense])
+
+
+class Learner:
+    """A replica of the model that one task trains by Adam; rows that a batch lacks are left alone."""
+
+    def __init__(self, model: Attention, seed: int):
+        self.model, self.rng, self.step = model, np.random.default_rng(seed), 0
+        self.mean, self.square = np.zeros_like(model.table), np.zeros_like(model.table)
+        self.times = np.zeros(len(model.table))
+
+    def learn(self, given: np.ndarray, target: np.ndarray, new: np.ndarray) -> None:
+        """One pass over the windows, in random order."""
+        order = self.rng.permutation(len(given))
+        for i in range(0, len(order), BATCH):
+            pick = order[i : i + BATCH]
+            rows, grad = self.model.gradients(given[pick], target[pick], new[pick])
+            self.step += 1
+            self.times[rows] += 1
+            mean, square = 0.9 * self.mean[rows] + 0.1 * grad, 0.99 * self.square[rows] + 0.01 * grad * grad
+            self.mean[rows], self.square[rows] = mean, square
+            move = mean / (1 - 0.9**self.step) / (np.sqrt(square / (1 - 0.99**self.step)) + 1e-8)
+            self.model.table[rows] -= np.float32(RATE) * move
+
+
+def trained(train: DataFrame, tokenizer: str, frequency: np.ndarray) -> Attention:
+    """The model after passes over all windows of all texts of ``train``.
+
+    A pass has ``ROUNDS`` rounds over disjoint parts of the texts. In a round every task trains a replica on
+    its texts; Spark averages each row of the table over the replicas that changed it, by their
+    steps. The driver gets one averaged table, whatever the number of texts and tasks.
+    """
+    size, model, known = len(frequency), Attention(Tree(frequency)), int(frequency.sum())
+    end = size - 1
+    passes = min(MAX_PASSES, -(-FEW_IDS // max(1, known))) if known else 0
+    context = train.sparkSession.sparkContext
+    rows = train.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).alias("part"))
+    for turn in range(passes * ROUNDS):
+        shared = context.broadcast(model)
+
+        def learn(frames: Iterator[pd.DataFrame], shared=shared, turn=turn) -> Iterator[pd.DataFrame]:
+            learner, held, waiting = None, [], 0
+
+            def flush():
+                learner.learn(*(np.concatenate(x) for x in zip(*held)))
+
+            for frame in frames:
+                for _, ids in encoder(tokenizer).encode(frame["text"].tolist()):
+                    learner = learner or Learner(copy.deepcopy(shared.value), turn)
+                    whole = np.append(ids, end)
+                    for i in range(0, len(whole), SPAN):  # long texts by bounded spans, each after its last id
+                        held.append(windows(whole[i : i + SPAN], whole[i - 1] if i else size))
+                        waiting += len(held[-1][0])
+                        if waiting >= HELD:
+                            flush()
+                            held, waiting = [], 0
+            if held:
+                flush()
+            if learner:
+                changed = np.flatnonzero(learner.times)
+                for block in np.split(changed, np.flatnonzero(np.diff(changed // BLOCK)) + 1):
+                    times = learner.times[block]
+                    values = learner.model.table[block] * times[:, None]
+                    yield pd.DataFrame({"block": [block[0] // BLOCK], "at": [block.tobytes()], "w": [times.tobytes()], "v": [values.tobytes()]})
+
+        def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[int, np.ndarray] = {}
+            for frame in frames:
+                for block, at, w, v in zip(frame["block"], frame["at"], frame["w"], frame["v"]):
+                    held = sums.setdefault(block, np.zeros((BLOCK, DIM + 1)))
+                    at = np.frombuffer(at, np.int64) - block * BLOCK
+                    held[at, :DIM] += np.frombuffer(v).reshape(-1, DIM)
+                    held[at, DIM] += np.frombuffer(w)
+            for block, held in sums.items():
+                at = np.flatnonzero(held[:, DIM])
+                mean = (held[at, :DIM] / held[at, DIM:]).astype(np.float32)
+                yield pd.DataFrame({"at": [(at + block * BLOCK).tobytes()], "v": [mean.tobytes()]})
+
+        parts = rows.filter(F.col("part") == turn % ROUNDS).select("text").mapInPandas(learn, "block long, at binary, w binary, v binary")
+        for r in parts.repartition("block").mapInPandas(add, "at binary, v binary").collect():  # one table
+            model.table[np.frombuffer(r["at"], np.int64)] = np.frombuffer(r["v"], np.float32).reshape(-1, DIM)
+        shared.unpersist()
+    return model
 
 
 def windows(ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,22 +252,10 @@ def windows(ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 class Scorer:
-    """The attention layer below counted pairs of ids."""
-
-    def __init__(self, model: Attention, of, share, keys, counts, seen, kinds):
-        self.model, self.of, self.share = model, of, share
-        self.keys, self.counts, self.seen, self.kinds = keys, counts, seen, kinds
-
-    def each(self, given: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log10 probability of every target."""
-        logs, _ = self.model.forward(given)
-        below = np.take_along_axis(logs, self.of[target][..., None], 2)[..., 0] / np.log(10) + self.share[target]
-        key = given * len(self.share) + target
-        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-        count = np.where(self.keys[at] == key, self.counts[at], 0) if len(self.keys) else np.zeros(key.shape)
-        seen, kinds = self.seen[given], self.kinds[given]
-        whole = np.maximum(1, seen + kinds)
-        return np.log10(count / whole + np.where(seen > 0, kinds / whole, 1) * 10.0**below)
+    """Scores whole texts window by window."""
+
+    def __init__(self, model: Attention):
+        self.model = model
 
     def totals(self, texts: list[np.ndarray], start: int) -> np.ndarray:
         """log10 probability per list of ids."""
@@ -153,13 +266,13 @@ class Scorer:
             owner = np.concatenate(owners)
             for i in range(0, len(given), GROUP):
                 part = slice(i, i + GROUP)
-                np.add.at(total, owner[part], (self.each(given[part], target[part]) * new[part]).sum(axis=1))
+                np.add.at(total, owner[part], (self.model.logs(given[part], target[part]) * new[part]).sum(axis=1))
 
         for i, ids in enumerate(texts):
             held.append(windows(ids, start))
             owners.append(np.full(len(held[-1][0]), i))
             waiting += len(owners[-1])
-            if waiting >= 4 * GROUP:
+            if waiting >= 32 * GROUP:
                 flush()
                 held, owners, waiting = [], [], 0
         if held:
@@ -174,7 +287,7 @@ def text_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
     from; a null ``doc_id`` is. Null and empty texts hold the end alone. ``base_score`` is the add-one
     unigram log10 probability of the tokens, ``score`` the model's of the subword ids and an end.
     Equal rows are counted and scored each, other columns are ignored, an empty table gives no rows.
-    Without training texts the class model is the untrained one and N and V are 0.
+    Without training texts all ids follow an even tree and N and V are 0.
     """
     lowered = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
     rows = docs.select(F.col("doc_id").cast("long"), lowered.alias("text")).withColumn("held_out", held_out(F.col("doc_id"), FOLDS))
@@ -190,34 +303,19 @@ def text_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
     size = encoder(tokenizer).tokenizer.get_vocab_size()
     end = size - 1
 
-    def count_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count_ids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            pairs = [np.empty(0, np.int64)]
+            times = np.zeros(size, np.int64)
             for _, ids in encoder(tokenizer).encode(frame["text"].tolist()):
-                ids = np.concatenate([[size], ids, [end]]).astype(np.int64)
-                pairs.append(ids[:-1] * size + ids[1:])
-            keys, times = np.unique(np.concatenate(pairs), return_counts=True)
-            yield pd.DataFrame({"key": keys, "c": times})
-
-    pairs = train.select("text").mapInPandas(count_pairs, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    pairs = stage(pairs, "pairs")
-    frequency, seen, kinds_after = np.zeros(size, np.int64), np.zeros(size + 1), np.zeros(size + 1)
-    # At most one row per id of the vocabulary each.
-    for r in pairs.groupBy((F.col("key") % size).alias("id")).agg(F.sum("c").alias("c")).collect():
+                times += np.bincount(ids, minlength=size)
+            times[end] += len(frame)
+            yield pd.DataFrame({"id": np.flatnonzero(times), "c": times[times > 0]})
+
+    frequency = np.zeros(size, np.int64)
+    # At most one row per id of the vocabulary.
+    for r in train.select("text").mapInPandas(count_ids, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():
         frequency[r["id"]] = r["c"]
-    for r in pairs.groupBy(F.floor(F.col("key") / size).alias("id")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-        seen[r["id"]], kinds_after[r["id"]] = r["c"], r["n"]
-    most = pairs.orderBy(F.desc("c"), "key").limit(TOP_PAIRS).toPandas().sort_values("key")
-    of, share = classes(frequency)
-
-    sample = train.filter(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_ROWS)
-    texts = sorted(r["text"] for r in sample.select("text").collect())
-    model = Attention(size)
-    if texts:
-        parts = [windows(np.append(ids, end), size) for _, ids in encoder(tokenizer).encode(texts)]
-        given, target, new = (np.concatenate(x) for x in zip(*parts))
-        model.train(given, of[target], new.astype(np.float32))
-    net = Scorer(model, of, share, most["key"].to_numpy(np.int64), most["c"].to_numpy(np.int64), seen, kinds_after)
+    net = Scorer(trained(train, tokenizer, frequency))
     shared = docs.sparkSession.sparkContext.broadcast((net, top))
 
     def score(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

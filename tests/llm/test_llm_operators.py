@@ -10,13 +10,14 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from claimspark.llm.attention import text_scores
+from claimspark.llm.attention import WINDOW, Attention, Tree, text_scores, trained
 from claimspark.llm.ball_tree import build, search, top_k
 from claimspark.llm.ngram_join import components, ngram_components, one_per_component
 from claimspark.llm.packing import difference, pack_block, packed_documents
 from claimspark.llm.pieces import PieceModel, decoded, encoded, piece_digests
 from claimspark.llm.sketches import text_sketches
 from claimspark.llm.substrings import with_cuts, without_repeats
+from claimspark.llm.subwords import encoder
 from claimspark.llm.token_files import EliasFano, token_files
 from claimspark.llm.toxicity import toxicity_scores
 from claimspark.llm.warc import archived_pages
@@ -196,6 +197,31 @@ def test_scores_of_texts(docs, empty):
     assert text_scores(empty, BYTES).count() == 0
 
 
+def test_attention_learns_from_long_texts(spark):
+    phrase = "zebra lamp quartz violin harbour"
+    train = spark.createDataFrame([(1, " ".join([phrase] * 5000)), (2, "a short one")], "doc_id long, text string")
+    size = encoder(BYTES).tokenizer.get_vocab_size()
+    ids = [np.asarray(x, np.int64) for _, x in encoder(BYTES).encode([" ".join([phrase] * 6)])][0][:WINDOW]
+    counts = np.bincount(ids, minlength=size) * 5000 // 6
+    model, before = trained(train, BYTES, counts), Attention(Tree(counts))
+    assert model.logs(ids[None, :-1], ids[None, 1:]).mean() > before.logs(ids[None, :-1], ids[None, 1:]).mean() + 0.3
+
+
+def test_attention_gradients():
+    rng = np.random.default_rng(0)
+    model = Attention(Tree(rng.integers(0, 50, 40)))
+    model.part("node")[:] = rng.normal(0, 0.3, model.part("node").shape)
+    given, target, weight = rng.integers(0, 41, (2, 10)), rng.integers(0, 40, (2, 10)), rng.random((2, 10)) < 0.7
+    model.table = model.table.astype(np.float64)
+    loss = lambda: -np.log(10) * (model.logs(given, target) * weight).sum() / weight.sum()
+    for row, slope in list(zip(*model.gradients(given, target, weight)))[::5]:
+        model.table[row, 3] += 1e-4
+        up = loss()
+        model.table[row, 3] -= 2e-4
+        assert (up - loss()) / 2e-4 == pytest.approx(slope[3], abs=1e-6)
+        model.table[row, 3] += 1e-4
+
+
 def test_packing(docs, empty):
     found = packed_documents(docs, WORDS, 1, 64).collect()
     held = {}
