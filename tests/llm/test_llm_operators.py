@@ -207,11 +207,12 @@ def test_attention_learns_from_long_texts(spark):
     assert model.logs(ids[None, :-1], ids[None, 1:]).mean() > before.logs(ids[None, :-1], ids[None, 1:]).mean() + 0.3
 
 
-def test_attention_gradients():
+def test_attention_gradients_and_whole_distribution():
     rng = np.random.default_rng(0)
     model = Attention(Tree(rng.integers(0, 50, 40)))
     model.part("node")[:] = rng.normal(0, 0.3, model.part("node").shape)
     given, target, weight = rng.integers(0, 41, (2, 10)), rng.integers(0, 40, (2, 10)), rng.random((2, 10)) < 0.7
+    assert sum(10 ** model.logs(given, np.full(given.shape, i)) for i in range(40)) == pytest.approx(1, abs=1e-6)
     model.table = model.table.astype(np.float64)
     loss = lambda: -np.log(10) * (model.logs(given, target) * weight).sum() / weight.sum()
     for row, slope in list(zip(*model.gradients(given, target, weight)))[::5]:
