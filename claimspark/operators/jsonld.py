@@ -8,6 +8,7 @@ does not keep), and array functions fold the nodes.
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from claimspark.functions.html import jsonld_blocks, without_comments
 
+SPACE = re.compile(r"[ \t\n\r]*")
 NODE = T.StructType(
     [
         T.StructField("types", T.ArrayType(T.StringType())),
@@ -51,6 +53,56 @@ def walk(value):
             stack.extend(reversed(top))
 
 
+def _nested(text: str):
+    """The value of a JSON text of any depth, which the recursive parser refuses; the same errors."""
+    scan, stack, i = json.JSONDecoder(), [], 0
+    skip = lambda i: SPACE.match(text, i).end()
+    fail = lambda: json.JSONDecodeError("Invalid JSON", text, i)
+
+    def name(i: int):
+        if text[i : i + 1] != '"':
+            raise fail()
+        key, i = scan.raw_decode(text, i)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise fail()
+        return key, skip(i + 1)
+
+    i = skip(0)
+    while True:
+        opened = text[i : i + 1]
+        if opened and opened in "{[":
+            value, i = {} if opened == "{" else [], skip(i + 1)
+            if text[i : i + 1] != ("}" if opened == "{" else "]"):
+                key, i = name(i) if opened == "{" else (None, i)
+                stack.append((value, key))
+                continue
+            i += 1
+        else:
+            value, i = scan.raw_decode(text, i)
+        while True:
+            i = skip(i)
+            if not stack:
+                if i < len(text):
+                    raise fail()
+                return value
+            box, key = stack.pop()
+            is_object = isinstance(box, dict)
+            if is_object:
+                box[key] = value
+            else:
+                box.append(value)
+            mark = text[i : i + 1]
+            if mark == ",":
+                i = skip(i + 1)
+                key, i = name(i) if is_object else (None, i)
+                stack.append((box, key))
+                break
+            if mark != ("}" if is_object else "]"):
+                raise fail()
+            value, i = box, i + 1
+
+
 def node_fields(node: dict) -> dict:
     """The fields of one node that the fold looks at."""
     kind = node.get("@type")
@@ -72,9 +124,13 @@ def node_fields(node: dict) -> dict:
 def block_nodes(text: str) -> list[dict]:
     """Nodes of one block; a block that is not valid JSON has none."""
     try:
-        return [node_fields(n) for n in walk(json.loads(text))]
-    except (ValueError, RecursionError):
+        try:
+            value = json.loads(text)
+        except RecursionError:
+            value = _nested(text)
+    except ValueError:
         return []
+    return [node_fields(n) for n in walk(value)]
 
 
 @F.arrow_udf(T.ArrayType(NODE))

@@ -104,12 +104,13 @@ def stratified_cut(
     Instead of ranking whole strata (one class may hold most rows), a histogram of hash prefixes
     finds the bucket of every cut point; only those buckets are ranked to get the hash at the
     cut, and each row compares its hash with the few cut hashes of its stratum.
-    ``values`` lists the strata, which bounds both broadcasts; rows of other strata are dropped.
+    Strata come from the data; null is one of its own and every row is kept. ``values`` names the
+    strata whose cut hashes are broadcast; those of any other stratum are joined by a shuffle.
     ``hashed`` names a column that already holds the hash, and is not part of the result.
     ``sizes`` gives each stratum's row counts of all parts but the last, in place of shares.
     """
     order = F.col(hashed) if hashed else hash_rank_key(F.col(key), seed)
-    rows = df.filter(F.col(strata).isin(*values)).withColumn("_hash", order)
+    rows = df.withColumn("_hash", order)
     prefix = F.substring("_hash", 1, digits)
     buckets = rows.groupBy(strata, prefix.alias("_prefix")).agg(F.count("*").alias("_rows"))
     whole = Window.partitionBy(strata)
@@ -120,7 +121,7 @@ def stratified_cut(
         if sizes is None:
             size = F.bround(F.col("_total") * F.lit(share), 0)
         else:
-            size = F.coalesce(*[F.when(F.col(strata) == v, F.lit(float(n[i]))) for v, n in sizes.items()])
+            size = F.coalesce(*[F.when(F.col(strata).eqNullSafe(F.lit(v)), F.lit(float(n[i]))) for v, n in sizes.items()])
         cut = cut + size
         cuts.append(cut)
     bounds = (
@@ -134,22 +135,33 @@ def stratified_cut(
             F.posexplode(F.array(*cuts)).alias("_cut", "_at"),
         )
         .filter("_low < _at and _at <= _high")
-        .select(strata, "_prefix", "_cut", (F.col("_at") - F.col("_low")).cast("long").alias("_nth"))
+        .select(F.col(strata).alias("_stratum"), "_prefix", "_cut", (F.col("_at") - F.col("_low")).cast("long").alias("_nth"))
     )
+    listed = lambda c: F.coalesce(F.col(c).isin(*values), F.lit(False))
+
+    def met(left: DataFrame, right: DataFrame, how: str, *also: str) -> DataFrame:
+        """Join by stratum, null like any other, and the columns ``also``."""
+        given = right.withColumnsRenamed({c: f"{c}_of" for c in also})
+        on = F.col(strata).eqNullSafe(F.col("_stratum"))
+        for c in also:
+            on = on & (F.col(c) == F.col(f"{c}_of"))
+        known = left.filter(listed(strata)).join(F.broadcast(given.filter(listed("_stratum"))), on, how)
+        others = left.filter(~listed(strata)).join(given.filter(~listed("_stratum")), on, how)
+        return known.unionByName(others)
+
     ranked = (
-        rows.select(strata, "_hash", prefix.alias("_prefix"))
-        .join(F.broadcast(bounds), [strata, "_prefix"])
-        .withColumn("_rank", F.row_number().over(Window.partitionBy(strata, "_cut").orderBy("_hash")))
+        met(rows.select(strata, "_hash", prefix.alias("_prefix")), bounds, "inner", "_prefix")
+        .withColumn("_rank", F.row_number().over(Window.partitionBy("_stratum", "_cut").orderBy("_hash")))
         .filter("_rank = _nth")
     )
-    marks = ranked.groupBy(strata).agg(
+    marks = ranked.groupBy("_stratum").agg(
         *[F.max(F.when(F.col("_cut") == i, F.col("_hash"))).alias(f"_mark{i}") for i in range(len(cuts))]
     )
     part = F.lit(parts[-1][0])
     for i in reversed(range(len(cuts))):
         below = F.col("_hash") <= F.coalesce(F.col(f"_mark{i}"), F.lit(""))
         part = F.when(below, F.lit(parts[i][0])).otherwise(part)
-    marked = rows.join(F.broadcast(marks), strata, "left").withColumn(name, part)
+    marked = met(rows, marks, "left").withColumn(name, part)
     return marked.select(*[c for c in df.columns if c not in (name, hashed)], name)
 
 

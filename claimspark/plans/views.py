@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from claimspark.operators.dataset import add_splits, build_dataset, build_processed, eda_view
 from claimspark.operators.profile import with_length
 from claimspark.session import scratch_path
-from claimspark.sources.tables import spread
 
 SITE = "https://checks.example"
 CARDS_PER_PAGE = 20
@@ -27,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of long texts, whose parsing should use every core."""
-    return spread(table(spark, sf_dir, name))
+    """A table of long texts."""
+    return table(spark, sf_dir, name)
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ row per URL; ``compact`` folds the log into a new base table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -39,10 +40,11 @@ def run_harvest(
     wanted = targets.select("url", "verdict")
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        filled = batch.filter("html is not null")
-        arrived = ["file_modification_time", "file_name"]
-        # Of a URL dropped twice in one batch the newest file counts.
-        newest = keep_last(harvest_rows(filled, arrived), "url", arrived).drop(*arrived)
+        # A page without html leaves a row of nulls, so its target counts as tried.
+        pages = batch.withColumn("filled", F.col("html").isNotNull())
+        # Of a URL dropped twice in one batch the newest file counts; within a file, a page with html.
+        arrived = ["file_modification_time", "file_name", "filled"]
+        newest = keep_last(harvest_rows(pages, arrived), "url", arrived).drop(*arrived)
         claims = attach_claims(wanted, newest, "inner")
         claims.write.mode("overwrite").parquet(f"{log}/gen={batch_id}")
 

@@ -134,3 +134,13 @@ def test_csv_round_trip(spark, frame, tmp_path):
     assert got["u2"].claim_reviewed is None and got["u2"].has_claimreview is None and got["u1"].has_claimreview is True
     with pytest.raises(FileNotFoundError, match="harvest first"):
         tables.read_table(spark, str(tmp_path / "absent"), hint="harvest first")
+
+
+def test_stream_leaves_null_rows_for_failed_pages(spark, frame, tmp_path):
+    drops, log, checkpoint = (str(tmp_path / n) for n in ("drops", "log", "cp"))
+    targets = frame("url string, verdict string", [("a", "x"), ("b", "y")])
+    pages = frame("url string, html string", [("a", review("t")), ("a", None), ("b", None)])
+    pages.coalesce(1).write.parquet(f"{drops}/one")
+    stream.run_harvest(spark, f"{drops}/*", targets, log, checkpoint).awaitTermination()
+    rows = {(r.url, r.verdict, r.claim_reviewed, r.has_claimreview) for r in stream.current_claims(spark, log).collect()}
+    assert rows == {("a", "x", "t", True), ("b", "y", None, False)}

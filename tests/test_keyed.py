@@ -44,3 +44,12 @@ def test_skewed_join_equals_plain_join(spark):
     plain = {(r.id, r.n) for r in big.join(small, "k").collect()}
     for hot in (1, 3, 10_000):
         assert {(r.id, r.n) for r in keyed.skewed_join(big, small, "k", "n", "id", 8, hot).collect()} == plain
+
+
+def test_cut_keeps_null_and_unlisted_strata(frame):
+    rows = [(f"{label}{i}", label) for label in ("a", "b", None) for i in range(20)]
+    df = frame("text string, label string", rows)
+    parts = (("train", 0.7), ("val", 0.15), ("test", 0.15))
+    got = keyed.stratified_cut(df, "label", ["a"], "text", parts).groupBy("label", "split").count().collect()
+    sizes = {"train": 14, "val": 3, "test": 3}
+    assert {(r.label, r.split): r["count"] for r in got} == {(x, s): n for x in ("a", "b", None) for s, n in sizes.items()}

@@ -170,3 +170,19 @@ def test_key_collisions(frame):
     long = "https://s/" + "x" * 200
     df = frame("url string", [(long + "1",), (long + "2",), (long + "2",), ("https://s/a",)])
     assert [r.n_urls for r in key_collisions(df).collect()] == [2]
+
+
+@pytest.mark.parametrize("levels", [10, 50_000])
+def test_json_beyond_the_parsers_depth_is_walked(levels):
+    _nested, block_nodes = jsonld._nested, jsonld.block_nodes
+
+    body = '{"@type": "ClaimReview", "claimReviewed": "c\\u00e9 ]"}'
+    text = '{"x": [1, ' * levels + body + "]} " * levels
+    nodes = block_nodes(text)
+    assert len(nodes) == levels + 1 and nodes[-1]["claim"] == "c\u00e9 ]"
+    assert block_nodes(text + "]") == block_nodes(text[:-4]) == []
+    for good in (' {"a": [], "b": {}, "c": [1.5e3, null, true, "x"]} ', "[]", '"s"', " 1 "):
+        assert _nested(good) == json.loads(good)
+    for bad in ("", "[1,]", '{"a" 1}', "{1: 2}", "[1 2]", '{"a": 1,}', "[}", "nul"):
+        with pytest.raises(ValueError):
+            _nested(bad)
