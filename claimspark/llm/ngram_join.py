@@ -200,9 +200,22 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, frequen
     null ``doc_id`` takes part in links and is named only where its component has no other. Rows of
     one ``doc_id`` are kept each. Other columns are ignored; an empty table gives no rows.
     """
+    found, rows = _row_components(docs, words, percent, frequent)
+    joined = found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    bare = rows.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return joined.unionByName(bare)
+
+
+def _source() -> Column:
+    """Names a row by its id and text, so that copies under ids of their own do not meet in one task."""
+    doc_id, text = F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")
+    return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(doc_id, F.lit("")), text), 256))
+
+
+def _row_components(docs: DataFrame, words: int, percent: int, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, source, n, component, component_id`` per row with shingles, and all rows with their ``n``."""
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    # Names a row by its content, so that copies under ids of their own do not meet in one task.
-    source = F.unhex(F.sha2(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), text), 256)).alias("source")
+    source = _source().alias("source")
     rows = docs.select(doc_id, source, shingle_set(text, words).alias("tokens")).withColumn("n", F.size("tokens"))
     smallest = percent // max(1, 100 - percent) if percent < 100 else 1 << 30  # below, only equal sets link
     prefix = F.when(F.col("n") >= smallest, F.slice("tokens", F.lit(1), _prefix_length(F.col("n"), percent)))
@@ -223,16 +236,23 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, frequen
     found = components(_linked(prefixes, sets_of, percent, frequent))
     named = classes.hint("merge").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.hint("merge").join(least, "component").select("digest", "component_id")
-    joined = some.select("doc_id", "n", "digest").hint("merge").join(named, "digest")
-    joined = joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    bare = rows.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return joined.unionByName(bare)
+    named = named.hint("merge").join(least, "component").select("digest", "component", "component_id")
+    joined = some.select("doc_id", "source", "n", "digest").hint("merge").join(named, "digest")
+    return joined.select("doc_id", "source", "n", "component", "component_id"), rows
 
 
 def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` names its component, one each; null ids are kept."""
-    found = ngram_components(docs.select("doc_id", "text"), words, percent)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").hint("merge").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """Of each component the row of the smallest ``doc_id``, nulls last; ties go by digests of text and columns.
+
+    Rows are told apart by id and text, so two texts of one ``doc_id`` are judged each on their own. Rows
+    without words link with nothing and are kept.
+    """
+    found, _ = _row_components(docs.select("doc_id", "text"), words, percent, FREQUENT)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "source"))
+    kept = found.groupBy("component").agg(first.alias("first")).select(F.col("first.source").alias("_source"))
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named = docs.filter(worded).withColumn("_source", _source()).hint("merge").join(kept, "_source", "left_semi")
+    # Rows of one id and text are copies: the first by their other columns stays.
+    rest = F.xxhash64(F.to_json(F.struct(F.lit(0), *[c for c in docs.columns if c not in ("doc_id", "text")])))
+    one = named.groupBy("_source").agg(F.min_by(F.struct(*docs.columns), rest).alias("_row")).select("_row.*")
+    return one.unionByName(docs.filter(~worded))

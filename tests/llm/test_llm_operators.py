@@ -86,6 +86,29 @@ def test_one_document_of_each_component_stays(docs, empty):
     assert ngram_components(empty).count() == one_per_component(empty).count() == 0
 
 
+def test_pipeline_stage_judges_rows_not_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(9999)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (5, a + " tail"), (5, b), (7, c), (7, d), (None, b + " end"), (None, "x y"), (None, "x y"), (8, "x y z"), (8, "x y z"), (9, None), (9, None), (None, " ")]
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    of = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if x and 100 * len(x & y) >= 80 * len(x | y):
+                    of[i] = of[j] = min(of[i], of[j])
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = [min((rows[i] for i in range(len(rows)) if of[i] == k), key=order) for k in set(of)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert dict(components(links).collect()) == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
