@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -539,13 +539,23 @@ def frequent_vocabulary(spark, sf):
     return terms.frequent_vocabulary(_doc_tokens(spark, sf))
 
 
+def _word_vectors(spark, sf) -> DataFrame:
+    rows = terms.with_tokens(views.dataset(spark, sf), "text", views.STOPWORDS)
+    vectors_of = neighbours.word_vectors(rows, partitions=8)
+    return terms.with_frequency(vectors_of, terms.term_frequency(rows))
+
+
 @query
 def word_vector_frequencies(spark, sf):
     """Word vectors of the claims with their corpus frequency."""
-    rows = terms.with_tokens(views.dataset(spark, sf), "text", views.STOPWORDS)
-    vectors_of = neighbours.word_vectors(rows, epochs=5, partitions=8)
-    joined = terms.with_frequency(vectors_of, terms.term_frequency(rows))
-    return joined.select("term", "n", F.size("vector").alias("dims"))
+    return _word_vectors(spark, sf).select("term", "n", F.size("vector").alias("dims"))
+
+
+@query
+def word_vector_digests(spark, sf):
+    """A digest of every word vector."""
+    rounded = F.transform("vector", lambda x: F.round(x, 4).cast("string"))
+    return _word_vectors(spark, sf).select("term", "n", F.md5(F.concat_ws(",", rounded)).alias("vector_md5"))
 
 
 @query
@@ -602,7 +612,7 @@ def tfidf_documents(spark, sf):
 def baseline_predictions(spark, sf):
     """Validation predictions of the TF-IDF and logistic regression baseline."""
     rows = dataset.with_label_ids(views.frozen_dataset(spark, sf))
-    model = classify.train_baseline(dataset.split_rows(rows, "train"), max_iter=100)
+    model = classify.train_baseline(dataset.split_rows(rows, "train"))
     scored = classify.predict(dataset.split_rows(rows, "val"), model)
     return scored.select("url", "label", "prediction", F.round(F.array_max("probs"), 3).alias("top_prob"))
 
@@ -612,7 +622,7 @@ def grid_search_scores(spark, sf):
     """Cross-validated macro-F1 per penalty on the training rows."""
     rows = dataset.with_label_ids(views.frozen_dataset(spark, sf))
     train = classify.add_folds(dataset.split_rows(rows, "train"), "text")
-    fitted = classify.grid_search(train.select("text", "label_id", "fold"), max_iter=25)
+    fitted = classify.grid_search(train.select("text", "label_id", "fold"))
     pairs = [
         F.struct(F.lit(c).alias("c"), F.lit(score).alias("macro_f1"), F.lit(c == fitted.best_c).alias("best"))
         for c, score in fitted.scores.items()
@@ -626,19 +636,30 @@ def fold_counts(spark, sf):
     return rows.groupBy("label", "fold").agg(F.count("*").alias("n"))
 
 
-@query
-def smote_counts(spark, sf):
-    """Embeddings raised to the largest class."""
+def _raised(spark, sf) -> DataFrame:
     rows = views.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"),
         F.col("label").cast("string").alias("label"),
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
     )
-    return sampling.smote(rows).groupBy("label").agg(
-        F.count("*").alias("n"), F.count_if("synthetic").alias("n_synthetic")
+    return sampling.smote(rows).withColumn("values", vector_to_array("features"))
+
+
+@query
+def smote_counts(spark, sf):
+    """Embeddings raised to the largest class; a synthetic row counts if it has numbers."""
+    return _raised(spark, sf).groupBy("label").agg(
+        F.count("*").alias("n"), F.count_if(F.col("synthetic") & F.exists("values", lambda x: ~F.isnan(x))).alias("n_synthetic")
     )
 
 
+@query
+def smote_digests(spark, sf):
+    """Every synthetic row by a digest of its numbers."""
+    rounded = F.transform("values", lambda x: F.round(x, 6).cast("string"))
+    return _raised(spark, sf).filter("synthetic").select("id", "label", F.md5(F.concat_ws(",", rounded)).alias("vector_md5"))
+
+
 def _stripe_scorer():
     """Logits: sums of every third number of a vector, starting at 0, 1 and 2."""
 
@@ -657,19 +678,30 @@ def external_predictions(spark, sf):
     return scored.select("vec_id", "prediction", *probs)
 
 
-@query
-def ranked_class_scores(spark, sf):
+def _ranked(spark, sf, slices) -> DataFrame:
     vecs = views.table(spark, sf, "embeddings").select(
         "vec_id",
         F.col("embedding").cast("array<double>").alias("v"),
         F.when(F.col("label") == 0, " ").otherwise("claim").alias("text"),
     )
-    sums = [vectors.dot(F.slice("v", 1 + 21 * i, 21), F.slice("v", 1 + 21 * i, 21)) for i in range(3)]
+    sums = [vectors.dot(F.slice("v", *s), F.slice("v", *s)) for s in slices]
     scored = classify.with_prediction(vecs.withColumn("logits", F.array(*sums)), "logits")
     rows = classify.ranked_scores(scored, "vec_id", "text")
     return rows.select("vec_id", "position", "label", F.round("score", 4).alias("score"), "best_label")
 
 
+@query
+def ranked_class_scores(spark, sf):
+    """The slices that the SQL names: numbers 1 to 63."""
+    return _ranked(spark, sf, [(1, 21), (22, 21), (43, 21)])
+
+
+@query
+def ranked_class_scores_whole(spark, sf):
+    """The same over all 64 numbers."""
+    return _ranked(spark, sf, [(1, 21), (22, 21), (43, 22)])
+
+
 @query
 def confusion_matrix(spark, sf):
     return metrics.confusion_matrix(metrics.confusion_cells(views.predictions(spark, sf)), [*FLAGS, "X"])

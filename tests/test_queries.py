@@ -44,3 +44,36 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", ["bootstrap_interval"])
 def test_query_without_sql(spark, name):
     assert driver.queries()[name](spark, SF_DIR).count() > 0
+
+
+def test_models_do_their_whole_job(spark, monkeypatch):
+    from claimspark.operators import classify
+    from claimspark.operators import vectors as neighbours
+
+    given = []
+
+    class Seen(Exception):
+        pass
+
+    def note(*args, **options):
+        given.append(options)
+        raise Seen
+
+    for module, name, query in (
+        (classify, "train_baseline", "baseline_predictions"),
+        (classify, "grid_search", "grid_search_scores"),
+        (neighbours, "word_vectors", "word_vector_frequencies"),
+    ):
+        monkeypatch.setattr(module, name, note)
+        with pytest.raises(Seen):
+            driver.queries()[query](spark, SF_DIR)
+    assert not any({"max_iter", "epochs"} & set(o) for o in given)
+
+
+def test_synthetic_rows_are_made(spark):
+    counts = driver.queries()["smote_counts"](spark, SF_DIR)
+    assert "_between" in counts._jdf.queryExecution().optimizedPlan().toString()
+    digests = driver.queries()["smote_digests"](spark, SF_DIR)
+    assert digests.count() == sum(r.n_synthetic for r in counts.collect()) > 0
+    whole = driver.queries()["ranked_class_scores_whole"](spark, SF_DIR)
+    assert whole.count() == driver.queries()["ranked_class_scores"](spark, SF_DIR).count() > 0
