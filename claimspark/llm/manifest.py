@@ -319,7 +319,7 @@ def manifest_proofs(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     )
     sources = stage(numbered(subroots, ["_source"]), "merkle-sources")
     top = forest(sources.drop("_source"), height)
-    root = tops(top, height).select(F.lit(None).cast("string").alias("tree"), F.lit(b"").alias("path"), "root")
+    root = tops(top, height).select("tree", F.lit(b"").alias("path"), "root")
     above = None
     for blocks in reversed(top):
         above = paths_of(_with_paths(blocks, root, above, height), height)
