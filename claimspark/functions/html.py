@@ -1,8 +1,11 @@
 """HTML columns, all map-only regular expressions over the page text.
 
-They cover what the operators need (links, title, meta tags, visible text, JSON-LD blocks) on
-reasonably formed pages; this is not an HTML parser. Apart from ``without_comments`` they expect
-HTML whose comments are gone, so operators strip those once per page.
+They cover what the operators need (links, title, meta tags, visible text, JSON-LD blocks); this
+is not an HTML parser. Every function reads the raw page with one scanner: an alternation that
+takes a comment, a raw-text element (script, style, template) or a tag whole, whatever stands in
+its body or in its quoted attributes, and acts by what it has met. So a comment mark in a script
+is text of the script, a script in a comment is none, and ``>`` in a quoted attribute does not end
+the tag. A comment or a raw-text element that never ends reaches to the end of the page.
 """
 
 from __future__ import annotations
@@ -16,9 +19,33 @@ from pyspark.sql import functions as F
 from claimspark.functions.text import squeeze, strip_space
 
 _MARK = "\u0001"
-_TAG = r"(?s)<[/!?a-zA-Z][^>]*>"
-_COMMENT = r"(?s)<!--.*?-->"
-_RAW_TEXT = r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>"
+# All groups repeat possessively, which Java's matcher does in a loop and not by recursion.
+_VALUE = r"""=\s*+(?:"[^"]*+"|'[^']*+')?+"""
+_REST = rf"(?:[^=>]++|{_VALUE})*+>"  # the rest of a tag
+_COMMENT = r"<!--(?:-?>|.*?(?:-->|\z))"
+_TAG = rf"<[/!?a-zA-Z]{_REST}"
+
+
+def _raw(*names: str) -> str:
+    return "|".join(rf"<{name}\b{_REST}.*?(?:</{name}\s*+>|\z)" for name in names)
+
+
+_HIDDEN = f"{_COMMENT}|{_raw('script', 'style', 'template')}"
+# Elements whose body holds no tags, for the functions that look for one kind of tag.
+_CLOSED = f"{_COMMENT}|{_raw('script', 'style', 'template', 'textarea', 'title')}"
+
+
+def _upto(name: str) -> str:
+    """Everything of a tag before the first attribute of that name."""
+    start = rf"(?!(?<=[\s\"'/]){name}\s*+=)"
+    return rf"""(?:{start}(?:[^\s=>"'/]++|[\s"'/]|{_VALUE}))*+"""
+
+
+def _having(name: str, value: str) -> str:
+    """A look-ahead for a tag whose attribute equals a value, quoted or not."""
+    v = re.escape(value)
+    return rf"""(?={_upto(name)}{name}\s*+=\s*+(?:"{v}"|'{v}'|{v}(?=[\s>])))"""
+
 
 _NAMED = "\u0003".join(
     f"{name}\u0002{char}"
@@ -60,71 +87,74 @@ def decode_entities(c: Column) -> Column:
 
 
 def without_comments(html: Column) -> Column:
-    return F.regexp_replace(html, _COMMENT, "")
-
+    """The page without its comments; comment marks inside raw-text elements and tags stay."""
+    kept = F.regexp_replace(html, rf"(?is){_COMMENT}|({_raw('script', 'style', 'template')}|{_TAG})", "$1")
+    return F.when(html.contains("<!--"), kept).otherwise(html)
 
-def without_scripts(html: Column) -> Column:
-    """Drop script, style and template tags with their bodies."""
-    return F.regexp_replace(html, _RAW_TEXT, _MARK)
 
-
-def _inner_text(markup: Column) -> Column:
-    """Text nodes, each trimmed, empty ones dropped, joined by one blank."""
-    nodes = F.split(F.regexp_replace(markup, _TAG, _MARK), _MARK)
+def visible_text(html: Column) -> Column:
+    """Text nodes outside comments and raw-text elements, each trimmed, empty ones dropped, joined by a blank."""
+    nodes = F.split(F.regexp_replace(html, f"(?is){_HIDDEN}|{_TAG}", _MARK), _MARK)
     clean = F.filter(F.transform(nodes, lambda n: strip_space(decode_entities(n))), lambda n: n != "")
     return F.array_join(clean, " ")
 
 
-def visible_text(html: Column) -> Column:
-    return _inner_text(without_scripts(html))
-
-
 def _attribute(tag: Column, name: str) -> Column:
-    """Value of one attribute of a start tag, null when absent."""
-    pattern = rf"""(?is)^<[^>]*?\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    """Value of the first attribute of that name of a start tag, null when absent."""
+    pattern = rf"""(?is)^<[a-z]{_upto(name)}{name}\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]++)"""
     raw = F.regexp_extract(tag, pattern, 1)
-    value = F.regexp_replace(raw, r"""^["']|["']$""", "")
+    value = F.regexp_replace(raw, r"""^(["'])(.*)\1$""", "$2")
     return F.when(raw != "", decode_entities(value))
 
 
 def anchors(html: Column, href_pattern: str) -> Column:
-    """Links whose href matches anywhere: ``array<struct<pos, href, text>>`` in page order."""
-    tags = F.regexp_extract_all(without_scripts(html), F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
-    found = F.transform(tags, lambda a: F.struct(_attribute(a, "href").alias("href"), a.alias("tag")))
+    """Links whose href matches anywhere: ``array<struct<pos, href, text>>`` in page order.
+
+    A link reaches to its end tag or, where that is missing, to the next link or the page's end.
+    """
+    inside = rf"(?:{_HIDDEN}|(?!</?a\b){_TAG}|[^<]++|<(?!/?a\b))*+"
+    tags = F.regexp_extract_all(html, F.lit(rf"(?is){_CLOSED}|(<a\b{_REST}{inside})|{_TAG}"), F.lit(1))
+    found = F.transform(
+        F.filter(tags, lambda t: t != ""), lambda a: F.struct(_attribute(a, "href").alias("href"), a.alias("tag"))
+    )
     wanted = F.filter(found, lambda x: x["href"].rlike(href_pattern))
     return F.transform(
         wanted,
         lambda x, i: F.struct(
             i.cast("int").alias("pos"),
             x["href"].alias("href"),
-            squeeze(_inner_text(x["tag"])).alias("text"),
+            squeeze(visible_text(x["tag"])).alias("text"),
         ),
     )
 
 
 def jsonld_blocks(html: Column) -> Column:
-    """Bodies of every ``application/ld+json`` script."""
-    pattern = (
-        r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
-    )
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    """Bodies of every ``application/ld+json`` script that is not commented out."""
+    wanted = rf"<script\b{_having('type', 'application/ld+json')}{_REST}(.*?)(?:</script\s*+>|\z)"
+    found = F.regexp_extract_all(html, F.lit(rf"(?is){_COMMENT}|{wanted}|{_CLOSED}|{_TAG}"), F.lit(1))
+    return F.filter(found, lambda b: b != "")
+
+
+def _first(html: Column, wanted: str) -> Column:
+    """Group 1 of the first element like ``wanted``, empty when there is none."""
+    before = rf"(?:{_COMMENT}|(?!{wanted})(?:{_CLOSED}|{_TAG})|[^<]++|<(?![/!?a-z]))*+"
+    return F.regexp_extract(html, rf"(?is)\A{before}(?:{wanted})", 1)
 
 
 def meta_content(html: Column, prop: str) -> Column:
     """``content`` of the first meta tag with this property, null when absent or empty."""
-    quoted = re.escape(prop)
-    pattern = rf"""(?is)<meta\b[^>]*\bproperty\s*=\s*["']{quoted}["'][^>]*>"""
-    tag = F.regexp_extract(html, pattern, 0)
+    tag = _first(html, rf"(<meta\b{_having('property', prop)}{_REST})")
     return F.nullif(_attribute(tag, "content"), F.lit(""))
 
 
 def title_text(html: Column, site_suffix: str | None = None) -> Column:
     """Text of the first title tag, minus ``| <site>`` at its end; null without a title tag."""
-    raw = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    text = strip_space(decode_entities(raw))
+    raw = _first(html, rf"(<title\b{_REST}.*?(?:</title\s*+>|\z))")
+    body = F.regexp_replace(raw, rf"(?is)^<title\b{_REST}|</title\s*+>$", "")
+    text = strip_space(decode_entities(body))
     if site_suffix:
         text = F.regexp_replace(text, rf"(?U)\s*\|\s*\Q{site_suffix}\E\s*\z", "")
-    return F.when(F.regexp_like(html, F.lit(r"(?i)<title\b")), text)
+    return F.when(raw != "", text)
 
 
 def first_filled(*cols: Column) -> Column:

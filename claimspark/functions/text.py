@@ -40,8 +40,8 @@ def strip_space(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """Collapse white space to single blanks and trim."""
-    return F.trim(F.regexp_replace(narrow_space(c), rf"[{SPACE}]+", " "))
+    """Collapse white space to single blanks and trim; names its argument once, as lambdas need."""
+    return F.trim(F.regexp_replace(c, rf"[{SPACE}{WIDE_SPACE}]+", " "))
 
 
 def words(c: Column) -> Column:
@@ -92,14 +92,13 @@ def spanish_stopwords(spark: SparkSession) -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("spanish")
 
 
-def keep_token(t: Column, stopwords: Iterable[str], min_chars: int = 3) -> Column:
-    """Alphabetic, long enough and not a stopword."""
-    keep = t.rlike(r"\A\p{L}+\z") & (F.length(t) >= min_chars)
-    stop = plain_stopwords(stopwords)
-    return keep & ~t.isin(stop) if stop else keep
-
-
 def tokens(c: Column, stopwords: Iterable[str], min_chars: int = 3) -> Column:
-    """Normalise, split and filter: the array of content words of a text."""
-    stop = list(stopwords)
-    return F.filter(words(normalize(c)), lambda t: keep_token(t, stop, min_chars))
+    """The content words of a text: alphabetic, long enough and not a stopword, after normalising.
+
+    A normalised text holds only word characters and white space, so one pattern finds the runs of
+    letters that fill a whole word; no token is looked at again but for the stopwords.
+    """
+    whole = rf"(?<![{WORD}])\p{{L}}{{{min_chars},}}+(?![{WORD}])"
+    found = F.regexp_extract_all(normalize(c), F.lit(whole), F.lit(0))
+    stop = plain_stopwords(stopwords)
+    return F.filter(found, lambda t: ~t.isin(stop)) if stop else found

@@ -76,16 +76,20 @@ def add_splits(
     dataset: DataFrame,
     seed: int = domain.SEED,
     parts: Sequence[tuple[str, float]] = domain.SPLITS,
-    labels: Sequence[str] = domain.LABELS,
     key: str = "text",
 ) -> DataFrame:
-    """Exact stratified hold-out per label, reproducible for a seed."""
-    return stratified_cut(dataset, "label", labels, key, parts, seed)
+    """Exact stratified hold-out per label, reproducible for a seed; labels come from the data."""
+    return stratified_cut(dataset, "label", key, parts, seed)
 
 
 def split_summary(dataset: DataFrame) -> DataFrame:
-    """Rows per split and label; a null label or split is the total over it."""
-    return dataset.cube("split", "label").agg(F.count("*").alias("n"))
+    """``(split, label, n, totals)``: rows per split and label, and over either or both.
+
+    ``totals`` tells a total from a row whose label or split is null: 0 for a group of its own, 1
+    for a total over the labels, 2 over the splits, 3 over both.
+    """
+    counts = dataset.cube("split", "label").agg(F.count("*").alias("n"), F.grouping_id().alias("totals"))
+    return counts.withColumn("totals", F.col("totals").cast("int"))
 
 
 def build_processed(
@@ -103,8 +107,7 @@ def build_processed(
     rows = build_dataset(claims, **options)
     if path:
         rows = stage(rows.withColumn("_order", hash_rank_key(F.col("text"), seed)), "dataset")
-        labels = options.get("labels", domain.LABELS)
-        dataset = stratified_cut(rows, "label", labels, "text", domain.SPLITS, seed, hashed="_order")
+        dataset = stratified_cut(rows, "label", "text", domain.SPLITS, seed, hashed="_order", unique=True)
         write_table(dataset, path, domain.DATASET_COLUMNS, fmt, ["split"] if fmt == "parquet" else [])
         return dataset
     return add_splits(rows, seed)
@@ -117,9 +120,9 @@ def class_table(spark, classes: Sequence[str] = domain.CLASSES) -> DataFrame:
 
 
 def with_label_ids(dataset: DataFrame, classes: Sequence[str] = domain.CLASSES) -> DataFrame:
-    """Attach the class id; labels outside ``classes`` raise a ``ValueError`` that names them."""
+    """Attach the class id; labels outside ``classes`` raise a ``ValueError`` that names all of them."""
     known = F.coalesce(F.col("label").isin(*classes), F.lit(False))
-    strays = dataset.filter(~known).select("label").distinct().limit(20).collect()
+    strays = dataset.filter(~known).select("label").distinct().collect()  # normally none
     if strays:
         raise ValueError(f"unexpected labels in dataset: {sorted(str(r.label) for r in strays)}")
     ids = F.broadcast(class_table(dataset.sparkSession, classes))  # one row per class

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark import domain
-from claimspark.functions.html import first_filled, meta_content, title_text, visible_text, without_comments
+from claimspark.functions.html import first_filled, meta_content, title_text, visible_text
 from claimspark.functions.labels import detect_label
 from claimspark.operators.jsonld import has_markup, jsonld_nodes, structured_fields
 
@@ -16,13 +16,9 @@ DATE_META = "article:published_time"
 TITLE_META = "og:title"
 
 
-def _clean(pages: DataFrame, *keep: str) -> DataFrame:
-    return pages.select("url", *keep, without_comments(F.col("html")).alias("html"))
-
-
 def structured_records(pages: DataFrame) -> DataFrame:
     """``(url, claim_reviewed, claimant, rating, date_jsonld, headline, keywords, jsonld_types)``."""
-    nodes = _clean(pages).select("url", jsonld_nodes(F.col("html")).alias("_nodes"))
+    nodes = pages.select("url", jsonld_nodes(F.col("html")).alias("_nodes"))
     return nodes.select("url", *structured_fields(F.col("_nodes")))
 
 
@@ -33,7 +29,7 @@ def harvest_rows(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """
     html = F.col("html")
     meta = meta_content(html, DATE_META).alias("_meta_date")
-    nodes = _clean(pages, *keep).select("url", *keep, jsonld_nodes(html).alias("_nodes"), meta)
+    nodes = pages.select("url", *keep, jsonld_nodes(html).alias("_nodes"), meta)
     rows = nodes.select("url", *keep, "_meta_date", *structured_fields(F.col("_nodes")))
     return rows.select(
         "url",
@@ -58,7 +54,7 @@ def article_sample(
     ``label_chars`` characters of the visible text.
     """
     html = F.col("html")
-    filled = _clean(pages.filter(html.isNotNull() & (html != "")))
+    filled = pages.filter(html.isNotNull() & (html != ""))
     nodes = filled.select("url", "html", jsonld_nodes(html).alias("_nodes"))
     rows = nodes.select("url", "html", *structured_fields(F.col("_nodes")))
 

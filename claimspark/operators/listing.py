@@ -8,19 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark import domain
-from claimspark.functions.html import anchors, without_comments
+from claimspark.functions.html import anchors
 from claimspark.functions.labels import detect_label, strip_badge
 from claimspark.functions.urls import absolute_url
 from claimspark.operators.keyed import keep_first
 from claimspark.session import stage
 
 MIN_CARD_CHARS = 30
-MAX_PAGES = 1000
 
 
 def page_links(pages: DataFrame, href_pattern: str, key: str = "listing_page") -> DataFrame:
     """``(key, pos, href, text)`` of the matching links of each page."""
-    links = pages.select(key, F.explode(anchors(without_comments(F.col("html")), href_pattern)).alias("link"))
+    links = pages.select(key, F.explode(anchors(F.col("html"), href_pattern)).alias("link"))
     return links.select(key, "link.*")
 
 
@@ -44,14 +43,19 @@ def labelled_cards(
     )
 
 
-def archive_end(page_counts: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+def _within(pages: DataFrame, max_pages: int | None) -> DataFrame:
+    kept = pages.filter(F.col("listing_page") >= 0)
+    return kept if max_pages is None else kept.filter(F.col("listing_page") < max_pages)
+
+
+def archive_end(page_counts: DataFrame, max_pages: int | None = None) -> DataFrame:
     """One row ``stop``: pages from there on are past the end of the archive.
 
     ``page_counts`` holds ``(listing_page, n_cards)`` of the pages that exist. The archive ends
     at the first absent page or at the second of two consecutive pages without cards. Neighbours
     meet by equi-joins on the page number, so no task orders all pages.
     """
-    counts = page_counts.filter(F.col("listing_page").between(0, max_pages - 1))
+    counts = _within(page_counts, max_pages)
     number = F.col("listing_page")
     reached = counts.select((number + 1).alias("listing_page"))
     start = reached.sparkSession.range(1).select(F.lit(0).cast("long").alias("listing_page"))
@@ -60,11 +64,12 @@ def archive_end(page_counts: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame
     after_empty = empty.select((number + 1).alias("listing_page"))
     streak = empty.join(after_empty, "listing_page", "left_semi")
     ends = absent.select("listing_page").unionByName(streak)
-    first = F.coalesce(F.min("listing_page"), F.lit(max_pages))
-    return ends.agg(F.least(first, F.lit(max_pages)).cast("long").alias("stop"))
+    # There is always a first absent page, as pages are finitely many.
+    limit = F.lit(max_pages).cast("long")
+    return ends.agg(F.least(F.min("listing_page"), limit).cast("long").alias("stop"))
 
 
-def within_archive(cards: DataFrame, page_counts: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+def within_archive(cards: DataFrame, page_counts: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Cards of the pages before the end of the archive."""
     stop = archive_end(page_counts, max_pages).scalar()
     return cards.filter((F.col("listing_page") >= 0) & (F.col("listing_page") < stop))
@@ -74,7 +79,7 @@ def listing_cards(
     pages: DataFrame,
     base: str,
     href_pattern: str,
-    max_pages: int = MAX_PAGES,
+    max_pages: int | None = None,
     labels: Sequence[str] = domain.LISTING_BADGES,
     min_chars: int = MIN_CARD_CHARS,
 ) -> DataFrame:
@@ -83,9 +88,9 @@ def listing_cards(
     The cards are parsed once and staged, since both the end of the archive and the result read
     them.
     """
-    wanted = pages.filter(F.col("listing_page").between(0, max_pages - 1) & F.col("html").isNotNull())
+    wanted = _within(pages, max_pages).filter("html is not null")
     linked = wanted.select(
-        "listing_page", anchors(without_comments(F.col("html")), href_pattern).alias("_links")
+        "listing_page", anchors(F.col("html"), href_pattern).alias("_links")
     )
     carded = linked.select(
         "listing_page", F.filter("_links", lambda c: F.length(c["text"]) >= min_chars).alias("_links")
@@ -99,5 +104,6 @@ def listing_cards(
 
 
 def choose_urls(listing: DataFrame, sitemap: DataFrame) -> DataFrame:
-    """Listing URLs, or the sitemap's when the listing is empty."""
-    return sitemap.select("url") if listing.isEmpty() else listing.select("url")
+    """Listing URLs, or the sitemap's when the listing is empty, decided inside one plan."""
+    listed = listing.select("url")
+    return listed.unionByName(sitemap.select("url").filter(~listed.select(F.lit(1).alias("one")).exists()))

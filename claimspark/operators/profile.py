@@ -29,7 +29,7 @@ def missing_table(df: DataFrame) -> DataFrame:
     counts = row.unpivot(["_rows"], [f"n:{c}" for c in df.columns], "column", "n_missing")
     percent = F.bround(F.col("n_missing") * 100.0 / F.col("_rows"), 2)
     return counts.filter("n_missing > 0").select(
-        F.substring("column", 3, 1000).alias("column"), "n_missing", percent.alias("percent")
+        F.substr("column", F.lit(3)).alias("column"), "n_missing", percent.alias("percent")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimspark import domain
 from claimspark.functions.text import tokens
-from claimspark.operators.keyed import dense_index
+from claimspark.operators.keyed import previous
 
 
 def with_tokens(
@@ -114,12 +114,9 @@ def piece_count(make_tokenizer: Callable[[], Callable[[str], Sequence]], special
 def per_step(df: DataFrame, step: str, value: str, run: str, name: str = "per_step") -> DataFrame:
     """Value minus the previous one of the run; the first stays as it is. ``(run, step)`` is unique.
 
-    Rows are numbered over all runs and joined with their predecessor by number, so one long run
-    is not sorted in one task.
+    One sort and a scan with carried partition ends, so one long run is not sorted in one task
+    and rows are not joined with each other.
     """
-    numbered = dense_index(df, [run, step], "_number")
-    before = numbered.select(
-        (F.col("_number") + 1).alias("_number"), F.col(run).alias("_run"), F.col(value).alias("_before")
-    )
-    change = F.col(value) - F.when(F.col("_run").eqNullSafe(F.col(run)), F.col("_before")).otherwise(0)
-    return numbered.join(before, "_number", "left").select(*df.columns, change.alias(name))
+    rows = previous(df, run, step, [value])
+    before = F.when(F.col("_previous").isNotNull(), F.col("_previous")[value]).otherwise(0)
+    return rows.select(*df.columns, (F.col(value) - before).alias(name))

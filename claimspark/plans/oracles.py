@@ -133,6 +133,15 @@ oracle("dataset_splits", SPLITS, "SELECT seq, label, split FROM splits")
 oracle("split_summary", SPLITS, """
 SELECT split, label, count(*) AS n FROM splits
 GROUP BY GROUPING SETS ((split, label), (split), (label), ())""")
+oracle("split_all_labels", CLAIMS + """,
+sized AS (SELECT rating AS label, count(*) AS n, round_even(count(*) * 0.7, 0) AS a, round_even(count(*) * 0.15, 0) AS b
+  FROM claims GROUP BY 1),
+parts AS (
+  SELECT 'train' AS split, label, a AS n FROM sized
+  UNION ALL SELECT 'val', label, b FROM sized
+  UNION ALL SELECT 'test', label, n - a - b FROM sized)""", """
+SELECT split, label, CAST(sum(n) AS BIGINT) AS n, CAST(grouping(split, label) AS INTEGER) AS totals
+FROM parts WHERE n > 0 GROUP BY CUBE (split, label)""")
 oracle("dataset_written", SPLITS, """
 SELECT url, label, label_binary, date FROM splits WHERE split = 'test'""")
 oracle("multiword_documents", "", r"""
@@ -265,6 +274,13 @@ FROM fields"""
 oracle("harvested_claims", ARTICLE, HARVEST)
 oracle("harvest_stream", ARTICLE, HARVEST + " WHERE has_page")
 
+oracle("markup_edge_cases", CLAIMS, """
+SELECT c.url, d.doc_id || ' > 0 & "more"' AS title, '2020-01-01T00:00:00Z' AS pub_date_raw, d.lang AS verdict_in_page,
+  md5('<!-- ' || d.text || ' -->') AS claim_md5, 'ClaimReview' AS jsonld_types,
+  'first ' || d.source || ' second link ' || d.lang AS shown,
+  '/check/' || d.doc_id || ' first ' || d.source || '|/check/x' || d.doc_id || ' second link' AS links
+FROM docs d JOIN claims c ON c.seq = d.doc_id""")
+
 # --- listing
 
 CARDS = r"""
@@ -318,6 +334,9 @@ oracle("dense_index", "", """
 SELECT user_id, event_id, row_number() OVER (ORDER BY user_id, event_id) - 1 AS idx FROM events""")
 oracle("chosen_urls", "", "SELECT DISTINCT url FROM pages WHERE url LIKE '%/%'")
 
+oracle("chosen_listing_urls", ORACLES["listing_cards"].removeprefix("WITH ").rsplit("SELECT url, verdict", 1)[0], """
+SELECT url FROM firsts WHERE rn = 1""")
+
 # --- incremental harvest
 
 oracle("harvest_targets", "", """

@@ -62,7 +62,15 @@ def dataset_splits(spark, sf):
 
 @query
 def split_summary(spark, sf):
-    return dataset.split_summary(views.split_dataset(spark, sf))
+    return dataset.split_summary(views.split_dataset(spark, sf)).drop("totals")
+
+
+@query
+def split_all_labels(spark, sf):
+    """Exact splits of every claim text, null and foreign labels included, with flagged totals."""
+    rows = views.claims(spark, sf).select("seq", "claim_reviewed", F.col("rating").alias("label"))
+    rows = dataset.add_splits(rows.withColumn("text", F.coalesce("claim_reviewed", F.lit("none"))))
+    return dataset.split_summary(rows)
 
 
 @query
@@ -171,12 +179,12 @@ def page_links(spark, sf):
 @query
 def page_titles(spark, sf):
     pages = views.texts(spark, sf, "pages")
-    return pages.select("page_id", html.title_text(html.without_comments(F.col("html"))).alias("title"))
+    return pages.select("page_id", html.title_text(F.col("html")).alias("title"))
 
 
 @query
 def page_visible_text(spark, sf):
-    shown = views.texts(spark, sf, "pages").select("page_id", html.visible_text(html.without_comments(F.col("html"))).alias("t"))
+    shown = views.texts(spark, sf, "pages").select("page_id", html.visible_text(F.col("html")).alias("t"))
     return shown.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
@@ -212,6 +220,19 @@ def harvested_claims(spark, sf):
     )
 
 
+@query
+def markup_edge_cases(spark, sf):
+    """What pages of odd markup yield: fields, links and visible text."""
+    pages = views.edge_pages(spark, sf)
+    linked = pages.select("url", "html", html.anchors(F.col("html"), CARD_LINK).alias("links"))
+    shown = linked.select("url", "links", html.visible_text(F.col("html")).alias("shown"))
+    rows = extract.article_sample(pages).join(shown, "url")
+    return rows.select(
+        "url", "title", "pub_date_raw", "verdict_in_page", F.md5("claim_reviewed").alias("claim_md5"), "jsonld_types", "shown",
+        F.array_join(F.transform("links", lambda x: F.concat(x["href"], F.lit(" "), x["text"])), "|").alias("links"),
+    )
+
+
 # --- listing --------------------------------------------------------------------------------
 
 
@@ -224,7 +245,7 @@ def labelled_cards(spark, sf):
 
 @query
 def listing_cards(spark, sf):
-    cards = listing.listing_cards(views.listing_pages(spark, sf), views.SITE, CARD_LINK, max_pages=10**9)
+    cards = listing.listing_cards(views.listing_pages(spark, sf), views.SITE, CARD_LINK)
     return cards.select("url", "verdict", F.md5("card_text").alias("card_md5"), "listing_page")
 
 
@@ -241,7 +262,7 @@ def archive_end(spark, sf):
     """Where an archive with one page per ten minutes of events would end."""
     pages = _minutes(spark, sf).withColumn("listing_page", F.floor(F.col("listing_page") / 10))
     counts = pages.groupBy("listing_page").agg(F.count_if(F.col("event_type") == "purchase").alias("n_cards"))
-    return listing.archive_end(counts, max_pages=10**9)
+    return listing.archive_end(counts)
 
 
 @query
@@ -260,7 +281,14 @@ def dense_index(spark, sf):
 @query
 def chosen_urls(spark, sf):
     """Listing URLs, or the sitemap's where the listing has none (as for this link pattern)."""
-    cards = listing.listing_cards(views.table(spark, sf, "pages").withColumn("listing_page", F.col("page_id")), views.SITE, "/none/[^?#]+", 10**9)
+    cards = listing.listing_cards(views.table(spark, sf, "pages").withColumn("listing_page", F.col("page_id")), views.SITE, "/none/[^?#]+")
+    return listing.choose_urls(cards, sitemap.sitemap_urls(views.sitemap_docs(spark, sf), "sitemap.xml", "/"))
+
+
+@query
+def chosen_listing_urls(spark, sf):
+    """The other branch: the listing has cards, so the sitemap's URLs are not taken."""
+    cards = listing.listing_cards(views.listing_pages(spark, sf), views.SITE, CARD_LINK)
     return listing.choose_urls(cards, sitemap.sitemap_urls(views.sitemap_docs(spark, sf), "sitemap.xml", "/"))
 
 
@@ -373,7 +401,7 @@ def date_plausibility(spark, sf):
 @query
 def recon_summary(spark, sf):
     """The three recon tables, written first and then summarised."""
-    cards = listing.listing_cards(views.listing_pages(spark, sf), views.SITE, CARD_LINK, max_pages=10**9)
+    cards = listing.listing_cards(views.listing_pages(spark, sf), views.SITE, CARD_LINK)
     site = sitemap.sitemap_urls(views.sitemap_docs(spark, sf), "sitemap.xml", "/")
     sample = extract.article_sample(views.article_pages(spark, sf), "Checks")
     parts = [stage(df, name) for df, name in ((cards, "cards"), (site, "sitemap"), (sample, "sample"))]

@@ -221,6 +221,36 @@ def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.filter(head.isNotNull()).select(_url().alias("url"), html.alias("html"))
 
 
+def edge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(url, html)``: one page per document, in markup that only a scanner reads right.
+
+    Comment marks in scripts and claims, commented-out blocks, titles and links, ``>`` in quoted
+    attributes, unquoted properties, links that are never closed, a comment that never ends.
+    """
+    docs = texts(spark, sf_dir, "documents")
+    number = F.col("doc_id").cast("string")
+
+    def review(*fields: Column) -> Column:
+        return _script(F.lit("ClaimReview").alias("@type"), *fields)
+
+    rated = F.struct(F.col("lang").alias("alternateName")).alias("reviewRating")
+    claim = F.concat(F.lit("<!-- "), F.col("text"), F.lit(" -->")).alias("claimReviewed")
+    gone = review(F.lit("gone").alias("claimReviewed"), F.lit("1999-01-01").alias("datePublished"))
+    # The claim's own marks stay as they are in the script: only `</` would end it.
+    body = F.replace(review(claim, rated), F.lit("\\u003c!--"), F.lit("<!--"))
+    html = F.concat(
+        F.lit("<!DOCTYPE html><html><head><!-- <title>gone</title><meta property=og:title content=gone> -->"),
+        F.lit("<script>var a = '<!--', b = '<title>gone</title>';</script>"), F.lit("<!-- "), gone, F.lit(" -->"), body,
+        F.lit("<meta name='x > y' property=og:title content='"), _escape(F.concat(number, F.lit(" > 0 & \"more\""))), F.lit("'>"),
+        F.lit("<meta property='article:published_time' content=2020-01-01T00:00:00Z></head><body>"),
+        F.lit('<a title="1 > 0" href="/check/'), number, F.lit('">first '), _escape(F.col("source")),
+        F.lit("<a href=/check/x"), number, F.lit("><b>second</b><!-- </a> --> link</a>"),
+        F.lit('<img alt="<a href=/check/none>none</a>"><p>'), _escape(F.col("lang")), F.lit("</p>"),
+        F.lit("<!-- never closed <p>"), _escape(F.col("text")),
+    )
+    return docs.select(_url().alias("url"), html.alias("html"))
+
+
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(listing_page, html)``: the documents as cards, twenty to a page; copies share a link."""
     docs = texts(spark, sf_dir, "documents")

@@ -9,23 +9,36 @@ from claimspark import domain
 from claimspark.operators import dataset, features
 
 SCHEMA = "seq long, url string, claim_reviewed string, rating string, pub_date string"
-WHEN = "2021-01-01T00:00:00-05:00"
+SIZES = {"Cuestionable": 23, "Falso": 57, "Verdadero": 19}
+WHO = ("La alcaldesa", "Un meteorólogo", "El sindicato", "Una vecina")
+DID = ("vio", "midió", "anunció", "negó", "compró")
+
+
+def sentences(n):
+    """Different texts of several words."""
+    return [f"{WHO[i % 4]} {DID[i // 4 % 5]} {i} barcos azules" for i in range(n)]
 
 
 @pytest.fixture(scope="module")
 def raw(spark):
-    texts = []
-    for n, word, rating in ((80, "falsa", "Falso"), (40, "cuestionable", "Cuestionable"), (30, "verdadera", "Verdadero")):
-        texts += [(f"afirmacion {word} numero {i}", rating) for i in range(n)]
-    texts += [
-        ("algo verdadero pero con matices aqui", "Verdadero pero..."),
-        ("https://photos.example/1?id=2", "Falso"),
-        ("afirmacion falsa numero 0", "Falso"),
-        (None, "Falso"),
-        ("afirmacion de chequeo multiple aqui", "Chequeo Múltiple"),
+    labels = [label for label, n in SIZES.items() for _ in range(n)]
+    claims = list(zip(sentences(len(labels)), labels))
+    claims += [
+        ("El río creció, aunque no tanto", "Verdadero pero..."),
+        ("El río creció, aunque menos", "Verdadero pero"),
+        ("barcos", "Falso"),
+        ("\u2003barcos\n", "Falso"),
+        ("", "Verdadero"),
+        (" \t ", "Cuestionable"),
+        (None, "Cuestionable"),
+        ("Una mezcla de varias cosas", "Chequeo Múltiple"),
+        ("Sin veredicto alguno", None),
+        ("EL RÍO CRECIÓ, AUNQUE MENOS", "Falso"),  # other letters, so another text
+        (claims[5][0], claims[5][1]),
+        (claims[-1][0], "Falso"),  # a copy under another label: the first row counts
     ]
-    rows = [(i, f"u{i}", t, r, WHEN) for i, (t, r) in enumerate(texts)]
-    return spark.createDataFrame(rows, SCHEMA)
+    rows = [(i * 3, f"https://notas.example/{i}", t, r, f"2022-0{i % 9 + 1}-11T09:30:00-05:00") for i, (t, r) in enumerate(claims)]
+    return spark.createDataFrame(rows[::-1], SCHEMA)  # the order is in `seq`, not in the rows
 
 
 @pytest.fixture(scope="module")
@@ -34,20 +47,24 @@ def built(raw):
 
 
 def test_rows_per_class(built):
-    assert Counter(r.label for r in built.collect()) == {"Falso": 80, "Cuestionable": 40, "Verdadero": 31}
+    assert Counter(r.label for r in built.collect()) == {"Falso": 58, "Cuestionable": 23, "Verdadero": 21}
 
 
-def test_nuanced_rating_is_merged(built):
-    assert built.filter("text like 'algo verdadero%'").first().label == "Verdadero"
+def test_both_nuanced_ratings_are_merged(built):
+    rows = built.filter("text like 'El río creció%'").collect()
+    assert [r.label for r in rows] == ["Verdadero"] * 2
 
 
-def test_urls_nulls_and_strays_are_gone(built):
-    assert built.filter("text like 'http%' or text is null or text like '%multiple%'").isEmpty()
+def test_texts_of_one_word_or_none_and_strays_are_gone(built):
+    texts = [r.text for r in built.collect()]
+    assert all(t and len(t.split()) > 1 for t in texts)
+    assert not any("mezcla" in t or "Sin veredicto" in t for t in texts)
 
 
 def test_first_copy_stays(built):
-    rows = built.filter("text = 'afirmacion falsa numero 0'").collect()
-    assert [r.seq for r in rows] == [0]
+    copies = {r.text: (r.seq, r.label) for r in built.collect()}
+    known = sentences(sum(SIZES.values()))
+    assert copies[known[5]] == (15, "Cuestionable") and copies[known[-1]] == (98 * 3, "Verdadero")
 
 
 def test_binary_label_follows_the_class(built):
@@ -58,10 +75,28 @@ def test_binary_label_follows_the_class(built):
 def test_split_counts_are_exact(built):
     rows = dataset.add_splits(built).collect()
     counts = Counter((r.label, r.split) for r in rows)
-    expected = {"Falso": (56, 12, 12), "Cuestionable": (28, 6, 6), "Verdadero": (22, 5, 4)}
-    for label, sizes in expected.items():
-        assert tuple(counts[label, s] for s in ("train", "val", "test")) == sizes
-    assert len({r.text for r in rows}) == len(rows) == 151
+    for label, n in Counter(r.label for r in rows).items():
+        train, val = round(n * 0.7), round(n * 0.15)  # half to even, as the split rounds
+        assert [counts[label, s] for s in ("train", "val", "test")] == [train, val, n - train - val]
+    assert len({r.text for r in rows}) == len(rows) == 102
+
+
+def test_equal_keys_are_split_exactly(frame):
+    df = frame("text string, label string", [("same", "Falso")] * 20 + [("same", None)] * 10 + [(None, "otra")] * 10)
+    rows = dataset.add_splits(df).groupBy("label", "split").count().collect()
+    sizes = {"Falso": (14, 3, 3), None: (7, 2, 1), "otra": (7, 2, 1)}
+    assert {(r.label, r.split): r["count"] for r in rows} == {
+        (label, s): n for label, own in sizes.items() for s, n in zip(("train", "val", "test"), own)
+    }
+
+
+def test_summary_tells_totals_from_nulls(frame):
+    df = frame("split string, label string", [("train", None), ("train", "a"), ("val", "a")])
+    rows = {(r.split, r.label, r.totals): r.n for r in dataset.split_summary(df).collect()}
+    assert rows == {
+        ("train", None, 0): 1, ("train", "a", 0): 1, ("val", "a", 0): 1, ("train", None, 1): 2, ("val", None, 1): 1,
+        (None, None, 2): 1, (None, "a", 2): 2, (None, None, 3): 3,
+    }
 
 
 def test_split_does_not_depend_on_partitioning(built):
@@ -93,7 +128,7 @@ def test_coarse_buckets_give_the_same_cut(built):
     from claimspark.operators.keyed import stratified_cut
 
     def cut(digits):
-        df = stratified_cut(built, "label", domain.LABELS, "text", domain.SPLITS, digits=digits)
+        df = stratified_cut(built, "label", "text", domain.SPLITS, digits=digits)
         return {(r.text, r.split) for r in df.collect()}
 
     assert cut(1) == cut(4) == cut(8)
@@ -112,10 +147,12 @@ def test_classes_are_alphabetical():
     assert list(domain.CLASSES) == sorted(domain.LABELS)
 
 
-def test_unknown_label_raises(frame):
-    bad = frame("text string, label string, split string", [("x", "Inventada", "train")])
-    with pytest.raises(ValueError, match="unexpected labels.*Inventada"):
+def test_all_unknown_labels_are_named(frame):
+    names = [f"clase {i}" for i in range(30)]
+    bad = frame("text string, label string", [("x", n) for n in [*names, None, "Falso"]])
+    with pytest.raises(ValueError) as error:
         dataset.with_label_ids(bad)
+    assert all(repr(n) in str(error.value) for n in [*names, "None"]) and "Falso" not in str(error.value)
 
 
 def test_class_weights(frame):

@@ -131,7 +131,7 @@ def test_visible_text_and_anchors(frame):
         "<p>uno<b> dos </b>&lt;tres&gt;</p> &nbsp; <a class=x href='/c/1?q=1'>A <i>b</i>\n c</a><a href=\"/d/2\">no</a>"
         "<a name=q>n</a><a href=/c/3>tres &amp;amp; &#x41;&unknown;</a>"
     )
-    clean = html.without_comments(F.col("h"))
+    clean = F.col("h")
     row = frame("h string", [(page,)]).select(
         html.visible_text(clean).alias("t"), html.anchors(clean, r"/c/[^?#]+").alias("a")
     ).first()
@@ -139,6 +139,56 @@ def test_visible_text_and_anchors(frame):
     assert [(a.pos, a.href, a.text) for a in row.a] == [(0, "/c/1?q=1", "A b c"), (1, "/c/3", "tres &amp; A&unknown;")]
 
 
+EDGES = {
+    "mark in a script": ('<script>var a = "<!--";</script><script type="application/ld+json">{"a": "<!-- x"}</script><a href="/c/1">y</a>', ["/c/1 y"], 1),
+    "commented out": ('<!-- <script type="application/ld+json">{}</script> <a href="/c/1">n</a> --><a href="/c/2">y</a><!-- end', ["/c/2 y"], 0),
+    "script in a string": ("<script>x = '<script type=\"application/ld+json\">{}';</script><a href='/c/1'>y</a>", ["/c/1 y"], 0),
+    "gt in attributes": ('<a title="a > b" data-x=\'> "\' href="/c/1?q=1&amp;r">y</a><img alt="<a href=/c/9>no</a>">', ["/c/1?q=1&r y"], 0),
+    "unclosed links": ('<a href=/c/1>one <b>two<a class=k href=/c/2>three</b><!-- </a> --> four</a> five<a href="/c/3">six', ["/c/1 one two", "/c/2 three four", "/c/3 six"], 0),
+    "tight attributes": ('<a class="x"href="/c/1"id=q>y</a><a data-href="/c/2" href="/d">n</a>', ["/c/1 y"], 0),
+    "type unquoted, other case": ("<SCRIPT defer TYPE=application/ld+json >[1]</SCRIPT ><script type='application/ld+json' id=a>[2]", [], 2),
+    "textarea": ('<textarea><a href="/c/1">n</a></textarea><a href="/c/2">y<script>"</a>"</script>z</a>', ["/c/2 y z"], 0),
+    "other types": ('<script type="text/javascript" data-type="application/ld+json">{}</script><script id="type=application/ld+json">{}</script>', [], 0),
+    "many attributes": ("<a " + " ".join(f'd{i}="{i}"' for i in range(20_000)) + ' href="/c/1">y</a>' + "<p =" + "=" * 50_000 + ">", ["/c/1 y"], 0),
+}
+
+
+@pytest.mark.parametrize("name", EDGES)
+def test_markup_edges(frame, name):
+    page, links, blocks = EDGES[name]
+    row = frame("h string", [(page,)]).select(
+        html.anchors(F.col("h"), "/c/").alias("a"), F.size(html.jsonld_blocks(F.col("h"))).alias("b")
+    ).first()
+    assert ([f"{a.href} {a.text}" for a in row.a], row.b) == (links, blocks)
+
+
+def test_head_edges(frame):
+    page = (
+        '<!-- <title>no</title><meta property="og:title" content="no"> --><script>"<title>no</title>"</script>'
+        "<meta name=\"a > b\" property=og:title data-content='no' content=\"it's > x &amp; y\"><meta property='og:title' content=late>"
+        "<title lang=es>Uno <!-- dos --> &lt;tres&gt; | Site</title><svg><title>no</title></svg>"
+    )
+    row = frame("h string", [(page,), ]).select(
+        html.meta_content(F.col("h"), "og:title").alias("m"), html.title_text(F.col("h"), "Site").alias("t"),
+        html.meta_content(F.col("h"), "og:url").alias("u"), html.visible_text(F.col("h")).alias("v"),
+    ).first()
+    assert (row.m, row.t, row.u) == ("it's > x & y", "Uno <!-- dos --> <tres>", None)
+    assert frame("h string", [("<p>x",), (None,)]).select(html.title_text(F.col("h")).alias("t")).collect() == [(None,), (None,)]
+
+
+def test_comments_go_and_marks_in_scripts_stay(frame):
+    page = '<p title="<!-- a -->">x<!-- b --><script>"<!--"</script>y<!-->z<!---->w<!-- end'
+    clean = frame("h string", [(page,)]).select(html.without_comments(F.col("h")).alias("c")).first().c
+    assert clean == '<p title="<!-- a -->">x<script>"<!--"</script>yzw'
+
+
+def test_review_with_a_comment_mark_is_kept(frame):
+    page = script({**REVIEW, "claimReviewed": "<!-- c --> d"}) + "<!-- " + script({**REVIEW, "claimReviewed": "gone"}) + " -->"
+    df = frame("url string, html string", [("u", page)])
+    assert extract.structured_records(df).first().claim_reviewed == "<!-- c --> d"
+    assert [r.types for r in jsonld.node_rows(df).collect()] == [["ClaimReview"], [], [], []]
+
+
 def test_entities(frame):
     cases = {"&eacute;&ntilde;&hellip;": "éñ…", "a & b &; &amp;lt;": "a & b &; &lt;", "&#8364;&#x1F600;&#0;": "€😀&#0;", "&apos;&quot": "'&quot"}
     df = frame("t string", [(k,) for k in cases])
