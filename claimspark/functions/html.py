@@ -22,12 +22,14 @@ _MARK = "\u0001"
 # All groups repeat possessively, which Java's matcher does in a loop and not by recursion.
 _VALUE = r"""=\s*+(?:"[^"]*+"|'[^']*+')?+"""
 _REST = rf"(?:[^=>]++|{_VALUE})*+>"  # the rest of a tag
-_COMMENT = r"<!--(?:-?>|.*?(?:-->|\z))"
-_TAG = rf"<[/!?a-zA-Z]{_REST}"
+# What may follow the opening bracket. That bracket stands before each alternation and not in
+# its branches, so the scanner runs over text at one comparison a character.
+_COMMENT = r"!--(?:-?>|.*?(?:-->|\z))"
+_TAG = rf"[/!?a-zA-Z]{_REST}"
 
 
 def _raw(*names: str) -> str:
-    return "|".join(rf"<{name}\b{_REST}.*?(?:</{name}\s*+>|\z)" for name in names)
+    return "|".join(rf"{name}\b{_REST}.*?(?:</{name}\s*+>|\z)" for name in names)
 
 
 _HIDDEN = f"{_COMMENT}|{_raw('script', 'style', 'template')}"
@@ -88,13 +90,13 @@ def decode_entities(c: Column) -> Column:
 
 def without_comments(html: Column) -> Column:
     """The page without its comments; comment marks inside raw-text elements and tags stay."""
-    kept = F.regexp_replace(html, rf"(?is){_COMMENT}|({_raw('script', 'style', 'template')}|{_TAG})", "$1")
+    kept = F.regexp_replace(html, rf"(?is)<{_COMMENT}|(<(?:{_raw('script', 'style', 'template')}|{_TAG}))", "$1")
     return F.when(html.contains("<!--"), kept).otherwise(html)
 
 
 def visible_text(html: Column) -> Column:
     """Text nodes outside comments and raw-text elements, each trimmed, empty ones dropped, joined by a blank."""
-    nodes = F.split(F.regexp_replace(html, f"(?is){_HIDDEN}|{_TAG}", _MARK), _MARK)
+    nodes = F.split(F.regexp_replace(html, f"(?is)<(?:{_HIDDEN}|{_TAG})", _MARK), _MARK)
     clean = F.filter(F.transform(nodes, lambda n: strip_space(decode_entities(n))), lambda n: n != "")
     return F.array_join(clean, " ")
 
@@ -112,11 +114,10 @@ def anchors(html: Column, href_pattern: str) -> Column:
 
     A link reaches to its end tag or, where that is missing, to the next link or the page's end.
     """
-    inside = rf"(?:{_HIDDEN}|(?!</?a\b){_TAG}|[^<]++|<(?!/?a\b))*+"
-    tags = F.regexp_extract_all(html, F.lit(rf"(?is){_CLOSED}|(<a\b{_REST}{inside})|{_TAG}"), F.lit(1))
-    found = F.transform(
-        F.filter(tags, lambda t: t != ""), lambda a: F.struct(_attribute(a, "href").alias("href"), a.alias("tag"))
-    )
+    inside = rf"(?:[^<]++|<(?:{_HIDDEN}|(?!/?a\b)(?:{_TAG}|)))*+"
+    links = F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{_CLOSED}|(a\b{_REST}{inside})|{_TAG})"), F.lit(1))
+    tags = F.transform(F.filter(links, lambda t: t != ""), lambda t: F.concat(F.lit("<"), t))
+    found = F.transform(tags, lambda a: F.struct(_attribute(a, "href").alias("href"), a.alias("tag")))
     wanted = F.filter(found, lambda x: x["href"].rlike(href_pattern))
     return F.transform(
         wanted,
@@ -130,26 +131,26 @@ def anchors(html: Column, href_pattern: str) -> Column:
 
 def jsonld_blocks(html: Column) -> Column:
     """Bodies of every ``application/ld+json`` script that is not commented out."""
-    wanted = rf"<script\b{_having('type', 'application/ld+json')}{_REST}(.*?)(?:</script\s*+>|\z)"
-    found = F.regexp_extract_all(html, F.lit(rf"(?is){_COMMENT}|{wanted}|{_CLOSED}|{_TAG}"), F.lit(1))
+    wanted = rf"script\b{_having('type', 'application/ld+json')}{_REST}(.*?)(?:</script\s*+>|\z)"
+    found = F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{_COMMENT}|{wanted}|{_CLOSED}|{_TAG})"), F.lit(1))
     return F.filter(found, lambda b: b != "")
 
 
 def _first(html: Column, wanted: str) -> Column:
-    """Group 1 of the first element like ``wanted``, empty when there is none."""
-    before = rf"(?:{_COMMENT}|(?!{wanted})(?:{_CLOSED}|{_TAG})|[^<]++|<(?![/!?a-z]))*+"
-    return F.regexp_extract(html, rf"(?is)\A{before}(?:{wanted})", 1)
+    """The first element like ``wanted``, empty when there is none."""
+    before = rf"(?:[^<]++|<(?:{_COMMENT}|(?!{wanted})(?:{_CLOSED}|{_TAG}|)))*+"
+    return F.regexp_extract(html, rf"(?is)\A{before}(<{wanted})", 1)
 
 
 def meta_content(html: Column, prop: str) -> Column:
     """``content`` of the first meta tag with this property, null when absent or empty."""
-    tag = _first(html, rf"(<meta\b{_having('property', prop)}{_REST})")
+    tag = _first(html, rf"meta\b{_having('property', prop)}{_REST}")
     return F.nullif(_attribute(tag, "content"), F.lit(""))
 
 
 def title_text(html: Column, site_suffix: str | None = None) -> Column:
     """Text of the first title tag, minus ``| <site>`` at its end; null without a title tag."""
-    raw = _first(html, rf"(<title\b{_REST}.*?(?:</title\s*+>|\z))")
+    raw = _first(html, rf"title\b{_REST}.*?(?:</title\s*+>|\z)")
     body = F.regexp_replace(raw, rf"(?is)^<title\b{_REST}|</title\s*+>$", "")
     text = strip_space(decode_entities(body))
     if site_suffix:

@@ -11,7 +11,7 @@ from claimspark import domain
 from claimspark.functions.dates import LOCAL, wall_clock
 from claimspark.functions.labels import binary_label, rewrite
 from claimspark.functions.text import is_multiword
-from claimspark.operators.keyed import hash_rank_key, keep_first, stratified_cut
+from claimspark.operators.keyed import hash_rank_key, keep_first_wide, stratified_cut
 from claimspark.session import stage
 from claimspark.sources.tables import write_table
 
@@ -61,7 +61,7 @@ def build_dataset(
     """
     usable = with_known_label(multiword(with_claim(with_label(claims))), labels)
     narrow = usable.select("claim_reviewed", "label", "pub_date", "url", order)
-    kept = keep_first(narrow, "claim_reviewed", order)
+    kept = keep_first_wide(narrow, "claim_reviewed", order)
     return kept.select(
         F.col("claim_reviewed").alias("text"),
         "label",

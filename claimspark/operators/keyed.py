@@ -56,17 +56,22 @@ def key_digest(key: str | Sequence[str]) -> Column:
     return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
-def keep_first_wide(df: DataFrame, key: str | Sequence[str], order: str) -> DataFrame:
-    """``keep_first`` for wide rows and keys, where ``order`` is one number that no two rows share.
+def keep_first_wide(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str]) -> DataFrame:
+    """``keep_first`` for wide rows and long keys; of rows with equal ``order`` one stays.
 
-    The winners are found on the key's digest and the order alone, in a hash aggregate with
-    primitive buffers; the rows are fetched by a semi-join on both, so a hot key's copies meet
-    their winner in many tasks and no long text is ever sorted.
+    The rows are staged with a row number and their key's digest. The winners' row numbers are
+    found on those narrow columns, for a single order column in a hash aggregate with primitive
+    buffers, and fetched by a semi-join on the number: copies of a hot key spread over all tasks
+    and no long text is sorted.
     """
-    rows = df.withColumn("_digest", key_digest(key))
-    winners = rows.groupBy("_digest").agg(F.min(order).alias("_first"))
-    winners = winners.select("_digest", F.col("_first").alias(order))
-    return rows.join(winners, ["_digest", order], "left_semi").select(*df.columns)
+    columns, order = df.columns, _names(order)
+    staged = df.select("*", key_digest(key).alias("_digest"), F.monotonically_increasing_id().alias("_row"))
+    rows = stage(staged, "keyed")
+    by = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    # A null order comes first, as in a sort; within a struct it does so anyway.
+    first = F.coalesce(F.min(F.when(by.isNull(), F.col("_row"))), F.min_by("_row", by))
+    winners = rows.groupBy("_digest").agg(first.alias("_row")).select("_row")
+    return rows.join(winners.hint("shuffle_hash"), "_row", "left_semi").select(*columns)
 
 
 # --- scans over a total order ---------------------------------------------------------------
