@@ -12,6 +12,8 @@ from claimspark import domain
 from claimspark.functions.dates import LOCAL, wall_clock
 from claimspark.functions.text import contains_word, is_single_word, word_count
 from claimspark.operators.dataset import class_table
+from claimspark.operators.keyed import at_ranks
+from claimspark.session import stage
 
 # The percentiles of a length description.
 PERCENTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
@@ -164,22 +166,53 @@ def with_length(df: DataFrame, text: str, name: str = "n_words") -> DataFrame:
     return df.withColumn(name, word_count(F.col(text)))
 
 
+def percentiles(df: DataFrame, col: str, shares: Sequence[float] = PERCENTILES) -> DataFrame:
+    """``(share, value)``: exact, linearly interpolated percentiles of a number, nulls and NaN left out.
+
+    Equal values are counted first. The distinct values are range-partitioned, the partitions'
+    counts summed up, and only those partitions are searched that hold a wanted rank, so any
+    number of distinct values spreads over the tasks.
+    """
+    values = df.select(F.col(col).cast("double").alias("x")).filter("x is not null and not isnan(x)")
+    counts = values.groupBy("x").agg(F.count("*").alias("n"))
+    places = lambda total: [F.lit(p) * (total - 1) for p in shares]
+
+    def ranks(total: Column, first: Column, after: Column) -> Column:
+        wanted = F.array_distinct(F.array(*[f(at).cast("long") for at in places(total) for f in (F.floor, F.ceil)]))
+        return F.filter(wanted, lambda r: (r >= first) & (r < after))
+
+    # At most two rows per share from here on.
+    found = at_ranks(counts, "x", ranks, "n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "x"))).alias("_at"))
+    total = values.agg(F.count("*")).scalar()
+    cells = []
+    for share, at in zip(shares, places(total)):
+        low, high = (F.try_element_at("_at", f(at).cast("long")) for f in (F.floor, F.ceil))
+        # As `percentile` interpolates: weights by the distance to either rank.
+        between = F.when(F.floor(at) == F.ceil(at), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+        cells.append(F.struct(F.lit(share).alias("share"), between.alias("value")))
+    return found.select(F.inline(F.array(*cells)))
+
+
 def describe(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
     """Count, mean, sample deviation, extremes and linearly interpolated percentiles.
 
-    The exact percentile keeps one counter per distinct value, which suits lengths; ``approx``
-    is for columns with unboundedly many values.
+    Exact for any number of distinct values; the column is staged, as several passes read it.
+    ``approx`` settles for a sketch in one pass.
     """
-    c, q = F.col(col), [F.lit(p) for p in PERCENTILES]
-    quantiles = F.percentile_approx(c, list(PERCENTILES), 10000) if approx else F.percentile(c, F.array(*q))
+    c = F.col(col)
+    if not approx:
+        df = stage(df.select(col), "described")
     row = df.agg(
         F.count(c).alias("count"),
         F.avg(c).alias("mean"),
         F.stddev_samp(c).alias("std"),
         F.min(c).alias("min"),
-        quantiles.alias("_q"),
         F.max(c).alias("max"),
+        *[F.percentile_approx(c, list(PERCENTILES), 10000).alias("_q")] * approx,
     )
+    if not approx:
+        pairs = F.array_sort(F.collect_list(F.struct("share", "value")))
+        row = row.withColumn("_q", percentiles(df, col).agg(F.transform(pairs, lambda q: q["value"])).scalar())
     named = [F.col("_q")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(PERCENTILES)]
     return row.select("count", "mean", "std", "min", *named, "max")
 

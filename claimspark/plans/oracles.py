@@ -535,6 +535,16 @@ placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, neighbour_id, score, rank FROM placed WHERE rank <= 5""")
 oracle("subword_lengths", "", _describe(
     r"2 + list_sum(list_transform(regexp_extract_all(text, '\S+'), lambda w: (length(w) + 3) // 4))", "documents"))
+PIECES = r"""
+pieces AS (SELECT lang, CAST(2 + list_sum(list_transform(regexp_extract_all(text, '\S+'), lambda w: (length(w) + 3) // 4)) AS BIGINT) AS n_pieces
+  FROM documents)"""
+oracle("subword_histogram", PIECES, "SELECT lang, n_pieces, count(*) AS n FROM pieces GROUP BY ALL")
+oracle("subword_density", PIECES + """,
+stats AS (SELECT lang, min(n_pieces) AS lo, max(n_pieces) AS hi, stddev_samp(n_pieces) * pow(count(*), -0.2) AS bw FROM pieces GROUP BY 1),
+grid AS (SELECT s.*, g.point, (lo - 3 * bw) + ((hi + 3 * bw) - (lo - 3 * bw)) * g.point / 199 AS x FROM stats s, range(200) g(point))""", """
+SELECT g.lang, CAST(g.point AS INTEGER) AS point, round(g.x, 4) AS x,
+  round(sum(exp(-0.5 * pow((g.x - d.n_pieces) / g.bw, 2))) / (g.bw * sqrt(2 * pi()) * (SELECT count(*) FROM pieces)), 8) AS density
+FROM grid g JOIN pieces d ON d.lang = g.lang GROUP BY g.lang, g.point, g.x, g.bw""")
 oracle("per_step_difference", "", """
 SELECT event_id, round(value - lag(value, 1, 0.0) OVER (PARTITION BY user_id ORDER BY event_id), 4) AS per_step
 FROM events""")
@@ -618,9 +628,28 @@ rows_ AS (
   UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support),
     sum(recall * support) / sum(support), sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM scores)""",
     f"SELECT label, {ROUNDED}, support FROM rows_")
+_CELL = "(SELECT count(*) FROM predictions WHERE label = '{}' AND prediction = '{}')"
 oracle("evaluation_document", SCORES, """
 SELECT 'test' AS split, (SELECT count(*) FROM predictions) AS n,
-  (SELECT round_even(avg(f1), 4) FROM scores) AS macro_f1, label, round_even(f1, 4) AS f1 FROM scores""")
+  (SELECT round_even(avg(f1), 4) FROM scores) AS macro_f1, true AS interval_holds,
+  '{"labels":["A","N","R"],"rows_true":[' || """ + " || ',' || ".join(
+    "'[' || " + " || ',' || ".join(_CELL.format(t, p) for p in FLAGS) + " || ']'" for t in FLAGS
+) + """ || ']}' AS matrix, label, round_even(f1, 4) AS f1 FROM scores""")
+oracle("baseline_report", SPLITS + """,
+counts AS (SELECT split, label, count(*) AS support FROM splits WHERE split <> 'train' GROUP BY ALL)""", """
+SELECT split, label, support, true AS sound FROM counts
+UNION ALL SELECT split, s.label, CAST(sum(support) AS BIGINT), true
+FROM counts, (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) s(label) GROUP BY split, s.label""")
+oracle("smote_classifier", SPLITS + """,
+placed AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || text)) AS place,
+  count(*) OVER (PARTITION BY label) AS n FROM splits WHERE split = 'train'),
+folded AS (SELECT CASE WHEN place <= round_even(n / 3, 0) THEN 0
+  WHEN place <= 2 * round_even(n / 3, 0) THEN 1 ELSE 2 END AS fold FROM placed)""", """
+SELECT CAST(fold AS INTEGER) AS fold, g.c, count(*) AS n_held, true AS consistent
+FROM folded, (VALUES (0.01::DOUBLE), (0.1), (1.0), (10.0)) g(c) GROUP BY ALL""")
+oracle("bootstrap_summary", SCORES, """
+SELECT CAST(1000 AS BIGINT) AS replicates, (SELECT count(*) FROM predictions) AS draws,
+  (SELECT round(avg(f1), 6) FROM scores) AS point, true AS low_holds, true AS high_holds""")
 oracle("first_errors", PREDICTIONS, """
 SELECT l_orderkey * 10 + l_linenumber AS line, label, prediction FROM predictions WHERE label <> prediction
 ORDER BY md5(label || CAST(l_orderkey * 10 + l_linenumber AS VARCHAR)) LIMIT 15""")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -59,12 +60,16 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, kinds: dict[str, DataType] | None = None, **options) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
+    ``kinds`` names columns that are read as another type of the same layout: a struct as the user
+    type that stands on it. ``options`` go to the writer.
+
     For results that several later passes read: parsed or de-duplicated once, pruned by column
     after that, and not recomputed when an executor is lost.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    fields = [StructField(f.name, (kinds or {}).get(f.name, f.dataType)) for f in df.schema]
+    return df.sparkSession.read.schema(StructType(fields)).parquet(path)

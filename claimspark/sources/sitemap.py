@@ -46,7 +46,13 @@ def sitemap_urls(docs: DataFrame, root: str, path_filter: str) -> DataFrame:
 
 
 def read_url_set(spark: SparkSession, path: str, path_filter: str) -> DataFrame:
-    """URL entries straight from sitemap files, one row per ``<url>`` element."""
+    """URL entries straight from sitemap files, one row per ``<url>`` element; the first of a repeat stays.
+
+    First by file name, then by byte range, then within the range.
+    """
     rows = spark.read.format("xml").option("rowTag", "url").schema(URL_SCHEMA).load(path)
-    rows = rows.select(strip_space(F.col("loc")).alias("url"), strip_space(F.col("lastmod")).alias("lastmod"))
-    return keep_first(rows.filter(F.col("url").contains(path_filter)), "url", ["lastmod"])
+    place = F.struct(
+        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    ).alias("_place")
+    rows = rows.select(strip_space(F.col("loc")).alias("url"), strip_space(F.col("lastmod")).alias("lastmod"), place)
+    return keep_first(rows.filter(F.col("url").contains(path_filter)), "url", "_place").drop("_place")

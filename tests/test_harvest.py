@@ -73,12 +73,76 @@ def test_stream_resumes_and_equals_batch(spark, frame, tmp_path):
     drop("two", [("a", review("second")), ("c", "<p>no markup</p>")])
     expected = {("a", "second"), ("b", "b"), ("c", None)}
     assert run() == expected
-    rows = stream.read_log(spark, log).count()
-    assert run() == expected and stream.read_log(spark, log).count() == rows
+    files = sorted(str(p) for p in tmp_path.rglob("log/**/*.parquet"))
+    assert run() == expected and sorted(str(p) for p in tmp_path.rglob("log/**/*.parquet")) == files
     stream.compact(spark, log, str(tmp_path / "base"))
     assert {(r.url, r.claim_reviewed) for r in stream.current_claims(spark, str(tmp_path / "base")).collect()} == expected
 
 
+def test_a_batch_rewrites_its_own_buckets(spark, frame, tmp_path):
+    drops, table, checkpoint = (str(tmp_path / n) for n in ("drops", "table", "cp"))
+    targets = frame("url string, verdict string, seq long", [(f"u{i}", "x", i) for i in range(400)])
+
+    def run(**options):
+        stream.run_harvest(spark, f"{drops}/*", targets, table, checkpoint, buckets=64, **options).awaitTermination()
+        return {r.url: r.claim_reviewed for r in stream.current_claims(spark, table).collect()}
+
+    def written(gen):
+        return sum(p.stat().st_size for p in tmp_path.glob(f"table/gen={gen}/**/*.parquet"))
+
+    frame("url string, html string", [(f"u{i}", review(f"text {i}")) for i in range(300)]).write.parquet(f"{drops}/one")
+    assert len(run()) == 300
+    frame("url string, html string", [("u7", review("changed")), ("u8", None)]).coalesce(1).write.parquet(f"{drops}/two")
+    got = run()
+    assert len(got) == 300 and got["u7"] == "changed" and got["u8"] is None and got["u9"] == "text 9"
+    assert 0 < written(1) < written(0) / 10
+    # With a limit only the first targets that are still missing count.
+    frame("url string, html string", [(f"u{i}", review("late")) for i in range(300, 400)]).write.parquet(f"{drops}/three")
+    assert sorted(set(run(limit=3)) - set(got)) == ["u300", "u301", "u302"]
+
+
+def csv_rows(spark, path, **options):
+    return sorted(map(tuple, tables.read_table(spark, path, **options).collect()), key=str)
+
+
+def test_large_csv_is_cut_at_record_ends(spark, frame, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    cells = ['a "quoted", word', "two\nlines\n\n", "", '"', "plain", ",", "\n" * 40, "é漢🙂" * 30, '""\n"', None]
+    rows = [(f"u{i}", *[rng.choice(cells) for _ in range(5)], rng.choice([True, False, None])) for i in range(3000)]
+    rows += [("long", "x\n" * 30_000, "end", None, None, None, True)]  # over several byte ranges
+    frame(CLAIMS.rsplit(",", 1)[0], rows).coalesce(1).write.options(header=True, quote='"', escape='"', emptyValue="").csv(str(tmp_path / "c"))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    whole = csv_rows(spark, str(tmp_path / "c"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        records = tables.csv_records(spark, str(tmp_path / "c"))
+        assert records.select("start").distinct().count() > 8
+        assert csv_rows(spark, str(tmp_path / "c")) == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    texts = ", ".join(f"{c} string" for c in domain.CLAIM_COLUMNS)
+    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"').schema(texts).csv(str(tmp_path / "c"))
+    plain = reader.select(*[tables.na_to_null(reader[c]).alias(c) for c in reader.columns[:-1]])
+    assert sorted((r[:-1] for r in whole), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    assert len(whole) == 3001
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    names = list(domain.CLAIM_COLUMNS)
+    for i, order in enumerate((names, names[::-1], ["extra", *names[3:], *names[:3]])):
+        body = ",".join(order) + "\r\n" + ",".join(f'"{c} {i}\n"' if c != "has_claimreview" else "true" for c in order) + "\r\n"
+        (tmp_path / f"f{i}.csv").write_bytes(("\ufeff" * (i == 0) + body).encode())
+    rows = tables.read_table(spark, str(tmp_path)).collect()
+    assert sorted((r.url, r.jsonld_types, r.has_claimreview) for r in rows) == [(f"url {i}\n", f"jsonld_types {i}\n", True) for i in range(3)]
+    (tmp_path / "f3.csv").write_text("url,verdict\na,b\n")
+    with pytest.raises(ValueError, match="rating"):
+        tables.read_table(spark, str(tmp_path))
+
+
 @pytest.mark.parametrize(
     "counts, max_pages, stop",
     [

@@ -43,9 +43,45 @@ def test_predicted_only_class_counts(frame):
     assert metrics.macro_f1(cells).first().macro_f1 == pytest.approx((2 / 3 + 0) / 2)
 
 
-def test_replicate_averages_present_classes():
-    stack = np.array([[[2, 0, 0], [0, 0, 0], [0, 0, 0]], [[1, 1, 0], [0, 2, 0], [0, 0, 0]]], dtype=float)
-    assert metrics.macro_f1_of(stack) == pytest.approx([1.0, (2 / 3 + 4 / 5) / 2])
+def test_replicate_averages_present_classes(frame):
+    cells = frame("replicate long, truth string, predicted string, n long", [(0, "a", "a", 2), (1, "a", "a", 1), (1, "a", "b", 1), (1, "b", "b", 2)])
+    scores = {r.replicate: r.macro_f1 for r in metrics.macro_f1(cells, ["replicate"]).collect()}
+    assert scores == {0: 1.0, 1: pytest.approx((2 / 3 + 4 / 5) / 2)}
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_draws_are_multinomial_however_blocked(cells, block):
+    drawn = metrics.bootstrap_cells(cells, 400, block=block).collect()
+    assert {sum(r.n for r in drawn if r.replicate == i) for i in range(400)} == {439}
+    for i, t in enumerate(CLASSES):
+        for j, p in enumerate(CLASSES):
+            counts = np.array([next((r.n for r in drawn if (r.replicate, r.truth, r.predicted) == (k, t, p)), 0) for k in range(0, 400, 4)])
+            share = MATRIX[i][j] / 439
+            assert abs(counts.mean() - 439 * share) <= 4.5 * (439 * share * (1 - share) / 100) ** 0.5
+            if MATRIX[i][j] > 40:
+                assert counts.var() == pytest.approx(439 * share * (1 - share), rel=0.6)
+
+
+def test_blocks_share_their_draws():
+    edges = np.array([0, 5, 6, 20, 100])
+    for replicate in range(50):
+        parts = [metrics.drawn_total(edges, b, 70, 1, replicate) for b in range(4)]
+        assert sum(parts) == 70 and min(parts) >= 0
+
+
+def test_thousands_of_classes(spark):
+    rows = spark.range(3000).selectExpr("concat('c', id) AS truth", "concat('c', id + id % 2) AS predicted", "id % 5 AS n")
+    low, high = metrics.bootstrap_ci(rows, 20).first()
+    assert 0 < low < high < 1
+
+
+def test_groups_share_one_table(rows, cells, frame):
+    both = rows.withColumn("split", rows["label"]).unionByName(rows.selectExpr("label", "prediction", "'all' AS split"))
+    grouped = metrics.confusion_cells(both, by=["split"])
+    assert metrics.macro_f1(grouped, ["split"]).filter("split = 'all'").first().macro_f1 == metrics.macro_f1(cells).first().macro_f1
+    report = metrics.classification_report(grouped, ["split"])
+    assert sorted(map(tuple, report.filter("split = 'all'").drop("split").collect())) == sorted(map(tuple, metrics.classification_report(cells).collect()))
+    assert report.filter("split = 'Falso' and label = 'accuracy'").first().f1 == pytest.approx(266 / 336)
 
 
 def test_report_summary_rows(cells):
@@ -91,3 +127,17 @@ def test_approximate_description(frame):
     df = frame("x int", [(i,) for i in range(1001)])
     exact, near = profile.describe(df, "x").first(), profile.describe(df, "x", approx=True).first()
     assert exact.p50 == 500 and near.p90 == pytest.approx(exact.p90, abs=1)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 1001])
+def test_percentiles_of_doubles(spark, n):
+    rng = np.random.default_rng(n)
+    values = np.concatenate([rng.normal(0, 1e6, n), rng.integers(0, 3, n // 2)]).tolist()
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double").repartition(5)
+    found = {r.share: r.value for r in profile.percentiles(df, "x", (0.0, 0.1, 0.25, 0.5, 0.99, 1.0)).collect()}
+    assert found == {p: pytest.approx(np.percentile(values, 100 * p)) for p in found} and len(found) == 6
+
+
+def test_description_of_nothing(frame):
+    row = profile.describe(frame("x double", []), "x").first()
+    assert row["count"] == 0 and row.p50 is None and row.max is None

@@ -212,7 +212,7 @@ def test_sitemap(frame, spark, tmp_path):
     assert rows == {"https://s/in/own": "2020", "https://s/in/a": "early", "https://s/in/b?x=1&y=2": None}
     nothing = sitemap_urls(docs, "absent", "/in/")
     assert nothing.columns == ["url", "lastmod"] and nothing.isEmpty()
-    (tmp_path / "s.xml").write_text(urlset((" https://s/in/a ", "m"), ("https://s/out", None)))
+    (tmp_path / "s.xml").write_text(urlset((" https://s/in/a ", "m"), ("https://s/out", None), ("https://s/in/a", "earlier")))
     assert [tuple(r) for r in read_url_set(spark, str(tmp_path), "/in/").collect()] == [("https://s/in/a", "m")]
 
 

@@ -72,7 +72,7 @@ def test_models_do_their_whole_job(spark, monkeypatch):
 
 def test_synthetic_rows_are_made(spark):
     counts = driver.queries()["smote_counts"](spark, SF_DIR)
-    assert "_between" in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "synthetic-" in "".join(counts.inputFiles())  # the new rows were written, not only counted
     digests = driver.queries()["smote_digests"](spark, SF_DIR)
     assert digests.count() == sum(r.n_synthetic for r in counts.collect()) > 0
     whole = driver.queries()["ranked_class_scores_whole"](spark, SF_DIR)
