@@ -24,12 +24,17 @@ _VALUE = r"""=\s*+(?:"[^"]*+"|'[^']*+')?+"""
 _REST = rf"(?:[^=>]++|{_VALUE})*+>"  # the rest of a tag
 # What may follow the opening bracket. That bracket stands before each alternation and not in
 # its branches, so the scanner runs over text at one comparison a character.
-_COMMENT = r"!--(?:-?>|.*?(?:-->|\z))"
+_COMMENT = r"!--(?:-?>|(?:[^-]++|-(?!->))*+(?:-->|\z))"
 _TAG = rf"[/!?a-zA-Z]{_REST}"
 
 
+def _body(name: str, group: str = "?:") -> str:
+    """What stands between a tag and its end tag, taken run by run, and that end."""
+    return rf"({group}(?:[^<]++|<(?!/{name}\s*+>))*+)(?:</{name}\s*+>|\z)"
+
+
 def _raw(*names: str) -> str:
-    return "|".join(rf"{name}\b{_REST}.*?(?:</{name}\s*+>|\z)" for name in names)
+    return "|".join(rf"{name}\b{_REST}{_body(name)}" for name in names)
 
 
 _HIDDEN = f"{_COMMENT}|{_raw('script', 'style', 'template')}"
@@ -131,7 +136,7 @@ def anchors(html: Column, href_pattern: str) -> Column:
 
 def jsonld_blocks(html: Column) -> Column:
     """Bodies of every ``application/ld+json`` script that is not commented out."""
-    wanted = rf"script\b{_having('type', 'application/ld+json')}{_REST}(.*?)(?:</script\s*+>|\z)"
+    wanted = rf"script\b{_having('type', 'application/ld+json')}{_REST}{_body('script', '')}"
     found = F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{_COMMENT}|{wanted}|{_CLOSED}|{_TAG})"), F.lit(1))
     return F.filter(found, lambda b: b != "")
 
@@ -150,7 +155,7 @@ def meta_content(html: Column, prop: str) -> Column:
 
 def title_text(html: Column, site_suffix: str | None = None) -> Column:
     """Text of the first title tag, minus ``| <site>`` at its end; null without a title tag."""
-    raw = _first(html, rf"title\b{_REST}.*?(?:</title\s*+>|\z)")
+    raw = _first(html, rf"title\b{_REST}{_body('title')}")
     body = F.regexp_replace(raw, rf"(?is)^<title\b{_REST}|</title\s*+>$", "")
     text = strip_space(decode_entities(body))
     if site_suffix:

@@ -610,6 +610,7 @@ logits AS (SELECT vec_id, sum(x * x) FILTER (i < 21) AS a, sum(x * x) FILTER (i
 SELECT vec_id, CAST(0 AS INTEGER) AS position, 'Falso' AS label, round(p1, 4) AS score, best AS best_label FROM probs
 UNION ALL SELECT vec_id, 1, 'Cuestionable', round(p0, 4), best FROM probs
 UNION ALL SELECT vec_id, 2, 'Verdadero', round(p2, 4), best FROM probs""")
+ORACLES["ranked_class_scores_whole"] = ORACLES["ranked_class_scores"].replace("i BETWEEN 42 AND 62", "i >= 42")
 oracle("confusion_matrix", PREDICTIONS + """,
 places AS (SELECT * FROM (VALUES (0, 'A'), (1, 'N'), (2, 'R'), (3, 'X')) v(position, truth))""",
     "SELECT CAST(p.position AS INTEGER) AS position, p.truth, " + ", ".join(

@@ -25,7 +25,7 @@ from claimspark.sources.tables import CLAIM_SCHEMA
 
 PAGE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("url", "html")])
 #: Buckets of a claim table; choose more for a larger one, as a batch rewrites whole buckets.
-BUCKETS = 256
+BUCKETS = 64
 
 
 def bucket_of(url: Column, buckets: int) -> Column:
