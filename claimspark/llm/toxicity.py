@@ -27,10 +27,10 @@ EPOCHS = 120
 RATE = 0.05
 DECAY = 0.1
 MIN_DOCS = 8
-#: Training sample: so many labelled rows, the first by a hash of doc_id, ...
+#: Windows up to which a longer text has a higher score.
+RAISED = 16
+#: Training sample: so many labelled rows, the first by a hash of doc_id, whole texts each.
 TRAIN_ROWS = 10_000
-#: ... without texts above so many characters. Scoring has neither bound.
-TRAIN_CHARS = 100_000
 #: Distinct words a worker keeps before it starts afresh.
 CACHE_WORDS = 400_000
 #: Texts scored at once.
@@ -69,12 +69,16 @@ def window_starts(words: int, window: int = WINDOW) -> np.ndarray:
 
 
 def _soft_max(logits: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log of the summed exponentials per document, and each window's share of it."""
+    """Log of the mean exponential per document, raised by the root of its windows up to ``RAISED``, and shares.
+
+    A plain sum scores a long text higher for its length alone, a mean hides one passage among many
+    windows: length counts by its root, and beyond ``RAISED`` windows not at all.
+    """
     top = np.maximum.reduceat(logits, starts)
     sizes = np.diff(np.append(starts, len(logits)))
     weight = np.exp(logits - np.repeat(top, sizes))
     total = np.add.reduceat(weight, starts)
-    return top + np.log(total), weight / np.repeat(total, sizes)
+    return top + np.log(total / sizes) + 0.5 * np.log(np.minimum(sizes, RAISED)), weight / np.repeat(total, sizes)
 
 
 def _seen_often(tokens, doc_at, of, flat, sizes) -> np.ndarray:
@@ -174,20 +178,33 @@ def held_out(doc_id: Column, folds: int, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _fitted(sample: DataFrame) -> tuple[bytes, float]:
+    """Train in one task, away from the driver; the rows of ``sample`` are bounded in number."""
+
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*frames, pd.DataFrame({"doc_id": [], "text": [], "_label": []})])
+        rows = rows.sort_values(["doc_id", "text"])
+        weights, bias = train(rows["text"].tolist(), [int(x) for x in rows["_label"]])
+        yield pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
+
+    found = sample.repartition(1).mapInPandas(fit, "weights binary, bias double").first()
+    return bytes(found.weights), found.bias
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Every column of ``docs`` and ``held_out``, ``score``, ``predicted``.
 
     ``labels`` has ``doc_id, toxic``; rows of the held-out fold and null labels are not learned
-    from. Null and empty texts get the score of no evidence, the bias. Columns of the three names
-    in ``docs`` are replaced. Without labels of both classes every text scores alike.
+    from. At most ``train_rows`` labelled documents are, of any length. Null and empty texts get the
+    score of no evidence, the bias. Repeated rows score alike. Columns of the three names in ``docs``
+    are replaced. Without labels of both classes every text scores alike.
     """
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_label"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)  # the bound of the broadcast
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id")
-    sample = rows.select("doc_id", "text", "_label").toPandas().sort_values(["doc_id", "text"])
-    weights, bias = train(sample["text"].tolist(), sample["_label"].tolist())
-    model = docs.sparkSession.sparkContext.broadcast(weights.tobytes())
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)  # the bound of the broadcast
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    weights, bias = _fitted(rows.select("doc_id", "text", "_label"))
+    model = docs.sparkSession.sparkContext.broadcast(weights)
 
     def apply(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = _scorer(model.value, bias)
