@@ -8,6 +8,7 @@ holds the same payload) and metadata. Response and metadata name the request in
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -118,7 +119,7 @@ def write_warc(pages: DataFrame, path: str, date: str, min_bytes: int = 0) -> No
     )
     # The text sink writes strings as they are and ends each with the two line ends of a record.
     writer = rows.select(F.explode(records).alias("value")).write.mode("overwrite")
-    writer.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    writer.options(lineSep=CRLF + CRLF, maxRecordsPerFile=FILE_RECORDS, compression="gzip").text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -161,7 +162,9 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame["content"]:
-                found = pd.DataFrame(list(parse_records(content, with_payload)), columns=columns)
+                # Archives are read gzipped, as written here, and plain.
+                plain = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+                found = pd.DataFrame(list(parse_records(plain, with_payload)), columns=columns)
                 yield found.astype({"payload_bytes": "Int64"})
 
     files = spark.read.format("binaryFile").load(path).select("content")
