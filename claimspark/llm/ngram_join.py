@@ -1,16 +1,22 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A document is its set of hashed word shingles, in the order of the hashes. Two sets of sizes ``n``
-and ``m`` that link miss at most ``e = n - ceil(t n)`` of each other's tokens. Tokens that many
-prefixes hold are dealt into ``N`` classes by their hash, where pairs of one class are indexed;
-the others are indexed singly. Dropping ``e`` of the first ``N + e + 1`` tokens cannot destroy all
-of these keys, as each class can lose at most one token more than it has keys for; so two linked
-sets share a key of the shorter prefix. ``N`` depends on the size only, and a set is indexed for the
-sizes its partners may have.
+A document is its set of hashed word shingles, rare ones first: a histogram of all shingles over
+``BUCKETS`` hash buckets, counted over every row, tells the frequent ones, and any order that is the
+same for all sets is right. Two sets of sizes ``n`` and ``m`` that link miss at most
+``e = n - ceil(t n)`` of each other's tokens, so prefixes of ``e + j`` tokens share ``j``. Tokens that
+many prefixes hold are dealt into ``N`` classes by their hash, where combinations of ``k`` tokens of
+one class are indexed; the others are indexed singly. With ``j = (k - 1) N + 1`` either a single
+token is shared or some class has ``k`` shared ones; so two linked sets share a key. ``N`` depends on
+the size only, and a set is indexed for the sizes its partners may have.
+
+``k`` starts at 2. Sets of a key that would still give more than ``PARTNERS`` pairs a set extend their
+prefixes by ``N`` and are indexed by ``k + 1`` tokens, among themselves only: two that link share such
+a key again, as both are among them. Pairs of the other keys are compared, and those of all keys at
+``LONGEST``.
 
 Equal sets are one class before anything is compared. A key's sets are compared with two leaders
-first; after that only sets of different components are, so a group of near copies never yields all
-its pairs, and no link that could join two components is left out.
+of different components first; after that only sets of different components are, so a group of near
+copies never yields all its pairs, and no link that could join two components is left out.
 
 Only prefixes and parity sketches are written. A sketch has about one bit per token, flipped by each
 token that falls on it; two sets differ in at least as many tokens as their sketches do in bits. The
@@ -19,38 +25,118 @@ full sets are made again from the texts, and only for pairs whose sketches may l
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from claimspark.llm.substrings import rolling
 from claimspark.session import stage
 
 #: A token in more prefixes than this is indexed in combinations.
 FREQUENT = 24
+#: Pairs a set that a key may give before its sets are indexed by longer combinations.
+PARTNERS = 16
+#: Tokens of the longest combinations.
+LONGEST = 4
+#: Counters of the histogram of all tokens.
+BUCKETS = 1 << 18
+CACHE_WORDS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_known: dict[bytes, int] = {}
 
-def shingle_set(text: Column, words: int) -> Column:
+
+def _shingles(text: bytes | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of ``words`` consecutive words; fewer words are one shingle."""
-    lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
-    found = F.regexp_extract_all(lowered, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    hashed = F.transform(found, lambda w: F.xxhash64(w))
+    found = (text or b"").lower().split()  # on bytes, these know A-Z and the ASCII spaces only
+    if not found:
+        return np.zeros(0, np.uint64)
+    new = set(found).difference(_known)
+    if len(_known) > CACHE_WORDS:
+        _known.clear()
+        new = set(found)
+    _known.update((w, xxhash.xxh64_intdigest(w)) for w in new)
+    hashed = np.fromiter(map(_known.__getitem__, found), np.uint64, len(found))
+    return np.unique(rolling(hashed, min(words, len(found))))
+
+
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def token_levels(docs: DataFrame, words: int, frequent: int) -> np.ndarray:
+    """For each bucket 0, or about the log2 of how often its tokens occur beyond an even share."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BUCKETS, np.int64)
+        for frame in frames:
+            found = [_shingles(text, words) for text in frame["text"]]
+            total += np.bincount(_bucket(np.concatenate(found)), minlength=BUCKETS)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": some, "n": total[some]})
+
+    texts = docs.select(F.col("text").cast("string").cast("binary").alias("text"))
+    counts = texts.mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(BUCKETS)
+    total[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy()
+    mean = total.mean()
+    beyond = total - mean
+    return np.where(beyond > 8 * np.sqrt(mean) + frequent, 1 + np.log2(np.maximum(beyond, 1)), 0).astype(np.uint8)
+
+
+def _ranked(text: bytes | None, words: int, levels: np.ndarray) -> np.ndarray:
+    """The shingles of a text, those of low levels first."""
+    tokens = _shingles(text, words)
+    return tokens[np.argsort(levels[_bucket(tokens)], kind="stable")].view(np.int64)
+
+
+def ranked_sets(words: int, levels: np.ndarray) -> Callable[[Column], Column]:
+    """A function of a binary text: all its tokens, in order."""
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def tokens(texts: pd.Series) -> pd.Series:
+        return pd.Series([_ranked(t, words, levels) for t in texts])
+
+    return tokens
+
+
+def set_summaries(words: int, levels: np.ndarray, percent: int, k: int = 2) -> Callable[[Column], Column]:
+    """A function of a binary text: size, digest, prefix and parity sketch of its set.
+
+    Sets that link with equal ones only have neither prefix nor sketch.
+    """
+    smallest = percent // max(1, 100 - percent) if percent < 100 else 1 << 30
+
+    @F.pandas_udf("n int, digest binary, prefix array<bigint>, parity array<bigint>")
+    def summary(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            tokens = _ranked(text, words, levels)
+            n, digest = len(tokens), hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+            some = n >= smallest
+            rows.append((n, digest, tokens[: prefix_length(n, percent, k)] if some else None, parity(tokens) if some else None))
+        return pd.DataFrame(rows, columns=["n", "digest", "prefix", "parity"])
+
+    return summary
 
-    def grams(h: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(h) - words + 1))
-        return F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, words)))))
 
-    one = F.transform(F.array(hashed), grams)[0]  # binds the words once
-    return F.when(F.size(found) == 0, F.array().cast("array<bigint>")).otherwise(one)
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Sketch of a set: a power of two of bits, at least one per token, as 64-bit words."""
+    bits = max(64, 1 << max(0, len(tokens) - 1).bit_length())
+    odd = np.bincount(tokens & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _needed(n: Column, percent: int) -> Column:
-    """The least overlap of a set of ``n`` tokens with any set that it links with."""
-    return F.floor((n * percent + 99) / 100).cast("int")
+def prefix_length(n: int, percent: int, k: int = 2) -> int:
+    """Tokens of a set of ``n`` that any set it links with may be looked up by, ``k`` at a time."""
+    classes = max(1, 1 << max(0, (n * 100 // percent).bit_length() - 5))
+    return (k - 1) * classes + n - (n * percent + 99) // 100 + 1
 
 
 def _classes(n: Column) -> Column:
@@ -62,15 +148,18 @@ def _largest(n: Column, percent: int) -> Column:
     return F.floor(n * 100 / percent).cast("int")
 
 
-def _prefix_length(n: Column, percent: int) -> Column:
-    """Tokens of a set of ``n`` that any set it links with may be looked up by."""
-    return _classes(_largest(n, percent)) + n - _needed(n, percent) + 1
+def _combined(tokens: Column, k: int, seed: Column) -> Column:
+    """Hashes of all combinations of ``k`` elements of an array."""
+    if k == 1:
+        return F.transform(tokens, lambda a: F.xxhash64(seed, a))
+    more = lambda a, i: _combined(F.slice(tokens, i + 2, F.size(tokens)), k - 1, F.xxhash64(seed, a))
+    return F.flatten(F.transform(tokens, more))
 
 
-def _keys(prefixes: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """``key, id, n``: everything a set is indexed by and that another set shares."""
+def _keys(prefixes: DataFrame, percent: int, frequent: int, k: int) -> DataFrame:
+    """``key, id, n``: everything a set is indexed by, ``k`` tokens at a time, and that another set shares."""
     n = F.col("n")
-    prefix = prefixes.select("id", "n", F.explode_outer("prefix").alias("token"))
+    prefix = prefixes.select("id", "n", F.explode("prefix").alias("token"))
     counts = prefix.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     known = stage(prefix.hint("merge").join(counts, "token"), "prefix-counts")
     single = known.filter(F.col("df") <= frequent).select(F.col("token").alias("key"), "id", "n")
@@ -78,10 +167,8 @@ def _keys(prefixes: DataFrame, percent: int, frequent: int) -> DataFrame:
     dealt = known.filter(F.col("df") > frequent).withColumn("classes", F.explode(levels))
     dealt = dealt.withColumn("class", F.pmod(F.xxhash64("token"), F.col("classes")))
     own = dealt.groupBy("id", "n", "classes", "class").agg(F.array_sort(F.collect_list("token")).alias("own"))
-    pairs = F.flatten(
-        F.transform("own", lambda a, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda b: F.xxhash64(F.lit(2), "classes", a, b)))
-    )
-    combined = own.filter(F.size("own") > 1).select(F.explode(pairs).alias("key"), "id", "n")
+    combined = _combined(F.col("own"), k, F.xxhash64(F.lit(k), "classes"))
+    combined = own.filter(F.size("own") >= k).select(F.explode(combined).alias("key"), "id", "n")
     return stage(single.unionByName(combined), "join-keys")
 
 
@@ -89,18 +176,6 @@ def _fits(n: str, m: str, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def parity(sets: pd.Series) -> pd.Series:
-    """Sketch of each set: a power of two of bits, at least one per token, as 64-bit words."""
-
-    def one(tokens: np.ndarray) -> np.ndarray:
-        bits = max(64, 1 << (len(tokens) - 1).bit_length())
-        odd = np.bincount(np.asarray(tokens, np.int64) & (bits - 1), minlength=bits) & 1
-        return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-    return sets.map(one, na_action="ignore")
-
-
 def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` that may link, by the sizes and ``parity`` of their sets."""
     left = sketches.select(F.col("id").alias("a"), F.col("n").alias("_n"), F.col("parity").alias("_p"))
@@ -158,30 +233,54 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def _linked(prefixes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, frequent: int) -> DataFrame:
-    """Enough links between distinct sets to connect every component; ``sets_of`` gives ids their sets."""
-    keys = _keys(prefixes, percent, frequent)
-    leads = keys.groupBy("key").agg(
-        F.min(F.struct("id", "n")).alias("l1"),
-        F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("l2"),
-        F.count("*").alias("size"),
-    )
-    leads = leads.filter("size > 1").select("key", F.explode(F.array(F.struct("l1.id", "l1.n"), F.struct("l2.id", "l2.n"))).alias("lead"))
-    tried = keys.hint("merge").join(leads, "key").filter((F.col("id") != F.col("lead.id")) & _fits("n", "lead.n", percent))
-    tried = tried.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-    tried = stage(tried, "led-pairs")
-    first = stage(_checked(tried, prefixes, sets_of, percent, "first"), "first-links")
-    found = stage(components(first), "first-components")
-    shared = keys.hint("merge").join(leads.select("key").distinct(), "key", "left_semi")
-    marked = shared.hint("merge").join(found, "id", "left")
-    marked = marked.withColumn("component", F.coalesce("component", "id"))
-    split = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    marked = stage(marked.hint("merge").join(split.select("key"), "key", "left_semi"), "open-keys")
-    other = marked.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    rest = marked.withColumnRenamed("id", "a").hint("merge").join(other, "key")
-    rest = rest.filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _fits("n", "m", percent))
-    rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    return first.unionByName(_checked(rest, prefixes, sets_of, percent, "rest"))
+def _linked(
+    prefixes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], longer: Callable[[DataFrame, int], DataFrame], percent: int, frequent: int
+) -> DataFrame:
+    """Enough links between distinct sets to connect every component.
+
+    ``sets_of`` gives ids their sets, ``longer`` their sizes and prefixes for combinations of some length.
+    """
+    links, found, now = None, None, prefixes.select("id", "n", "prefix")
+    for k in range(2, LONGEST + 1):
+        keys = _keys(now, percent, frequent, k)
+        tried = _led(_marked(keys, found), percent)
+        first = stage(_checked(tried, prefixes, sets_of, percent, "first"), "first-links")
+        links = first if links is None else links.unionByName(first)
+        found = stage(components(links), "components")
+        marked = stage(_marked(keys, found), "open-keys")
+        # what comparing all sets of different components would make of each key
+        held = marked.groupBy("key", "component").agg(F.count("*").cast("double").alias("c")).groupBy("key")
+        held = held.agg(F.sum("c").alias("sets"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        crowded = (F.col("sets") * F.col("sets") - F.col("same")) / 2 > PARTNERS * F.col("sets")
+        held = held.filter("sets * sets > same").select("key", (crowded & F.lit(k < LONGEST)).alias("crowded"))
+        marked = stage(marked.hint("merge").join(held, "key"), "judged-keys")
+        few = marked.filter("not crowded")
+        other = few.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+        rest = few.withColumnRenamed("id", "a").hint("merge").join(other, "key")
+        rest = rest.filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _fits("n", "m", percent))
+        rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        links = links.unionByName(stage(_checked(rest, prefixes, sets_of, percent, "rest"), "rest-links"))
+        crowd = stage(marked.filter("crowded").select("id").distinct(), "crowd")
+        if crowd.isEmpty():
+            break
+        now = stage(longer(crowd, k + 1), "prefixes")
+    return links
+
+
+def _marked(keys: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``keys`` with the component of each set; a set without links is its own."""
+    if found is None:
+        return keys.withColumn("component", F.col("id"))
+    return keys.hint("merge").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _led(keys: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a key's sets with its two leaders, of the first and the last component."""
+    order = F.struct("component", "id", "n")
+    leads = keys.groupBy("key").agg(F.min(order).alias("l1"), F.max(order).alias("l2")).filter("l1.component < l2.component")
+    leads = leads.select("key", F.explode(F.array("l1", "l2")).alias("lead"))
+    tried = keys.hint("merge").join(leads, "key").filter((F.col("component") != F.col("lead.component")) & _fits("n", "lead.n", percent))
+    return stage(tried.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct(), "led-pairs")
 
 
 def _checked(pairs: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, name: str) -> DataFrame:
@@ -214,26 +313,33 @@ def _source() -> Column:
 
 def _row_components(docs: DataFrame, words: int, percent: int, frequent: int) -> tuple[DataFrame, DataFrame]:
     """``doc_id, source, n, component, component_id`` per row with shingles, and all rows with their ``n``."""
+    if percent < 80:
+        raise ValueError("combinations of four tokens need a similarity of 80 percent or more")
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
     source = _source().alias("source")
-    rows = docs.select(doc_id, source, shingle_set(text, words).alias("tokens")).withColumn("n", F.size("tokens"))
-    smallest = percent // max(1, 100 - percent) if percent < 100 else 1 << 30  # below, only equal sets link
-    prefix = F.when(F.col("n") >= smallest, F.slice("tokens", F.lit(1), _prefix_length(F.col("n"), percent)))
-    sketch = parity(F.when(F.col("n") >= smallest, F.col("tokens")))
-    digest = F.unhex(F.sha2(F.concat_ws(",", "tokens"), 256)).alias("digest")
-    rows = rows.select("doc_id", "source", "n", digest, prefix.alias("prefix"), sketch.alias("parity"), F.monotonically_increasing_id().alias("id"))
-    rows = stage(rows, "shingles")
+    levels = token_levels(docs, words, frequent)
+    summary = set_summaries(words, levels, percent)
+    rows = docs.select(doc_id, source, summary(text.cast("binary")).alias("s"))
+    rows = stage(rows.select("doc_id", "source", "s.*", F.monotonically_increasing_id().alias("id")), "shingles")
     some = rows.filter("n > 0")
     classes = stage(some.groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("least")), "classes")
     prefixes = some.filter("prefix is not null").select("id", "n", "prefix", "parity").hint("merge")
     prefixes = stage(prefixes.join(classes.select("id"), "id", "left_semi"), "prefixes")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
+    tokens = ranked_sets(words, levels)
+
+    def texts_of(ids: DataFrame) -> DataFrame:
         asked = rows.select("id", "source").hint("merge").join(ids, "id", "left_semi")
-        whole = docs.select(source, text.alias("text")).hint("merge").join(asked, "source")
-        return whole.select("id", shingle_set(F.col("text"), words).alias("tokens"))
+        return docs.select(source, text.cast("binary").alias("text")).hint("merge").join(asked, "source")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return texts_of(ids).select("id", tokens(F.col("text")).alias("tokens"))
+
+    def longer(ids: DataFrame, k: int) -> DataFrame:
+        extended = set_summaries(words, levels, percent, k)
+        return texts_of(ids).select("id", extended(F.col("text")).alias("s")).select("id", "s.n", "s.prefix").dropDuplicates(["id"])
 
-    found = components(_linked(prefixes, sets_of, percent, frequent))
+    found = components(_linked(prefixes, sets_of, longer, percent, frequent))
     named = classes.hint("merge").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.hint("merge").join(least, "component").select("digest", "component", "component_id")
