@@ -149,29 +149,44 @@ def _largest(n: Column, percent: int) -> Column:
 
 
 def _combined(tokens: Column, k: int, seed: Column) -> Column:
-    """Hashes of all combinations of ``k`` elements of an array."""
+    """Hashes of all combinations of ``k`` elements of an array, with what goes ``before`` the last of each."""
     if k == 1:
-        return F.transform(tokens, lambda a: F.xxhash64(seed, a))
-    more = lambda a, i: _combined(F.slice(tokens, i + 2, F.size(tokens)), k - 1, F.xxhash64(seed, a))
+        return F.transform(tokens, lambda a: F.struct(F.xxhash64(seed, a["token"]).alias("key"), a["before"].alias("before")))
+    more = lambda a, i: _combined(F.slice(tokens, i + 2, F.size(tokens)), k - 1, F.xxhash64(seed, a["token"]))
     return F.flatten(F.transform(tokens, more))
 
 
 def _keys(prefixes: DataFrame, percent: int, frequent: int, k: int) -> DataFrame:
-    """``key, id, n``: everything a set is indexed by, ``k`` tokens at a time, and that another set shares."""
+    """``key, id, n, before``: everything a set is indexed by, ``k`` tokens at a time, and that another set shares.
+
+    Sets that share a token which few prefixes hold meet at its own key. So two sets that need a
+    combination to meet share none of the ``before`` such tokens that go before it in either, and a
+    set with more of them than it may miss needs no such key.
+    """
     n = F.col("n")
-    prefix = prefixes.select("id", "n", F.explode("prefix").alias("token"))
+    prefix = prefixes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     counts = prefix.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     known = stage(prefix.hint("merge").join(counts, "token"), "prefix-counts")
-    single = known.filter(F.col("df") <= frequent).select(F.col("token").alias("key"), "id", "n")
+    single = known.filter(F.col("df") <= frequent).select(F.col("token").alias("key"), "id", "n", F.lit(0).alias("before"))
+    held = known.filter(F.col("df") > frequent).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("held"))
+    held = held.select("id", "n", F.posexplode("held").alias("rank", "one"))
+    held = held.select("id", "n", "one.*", (F.col("one.pos") - F.col("rank")).alias("before"))
+    held = held.filter(F.col("before") <= n - F.floor((n * percent + 99) / 100))
     levels = F.array_distinct(F.array(_classes(n), _classes(_largest(n, percent))))
-    dealt = known.filter(F.col("df") > frequent).withColumn("classes", F.explode(levels))
+    dealt = held.withColumn("classes", F.explode(levels))
     dealt = dealt.withColumn("class", F.pmod(F.xxhash64("token"), F.col("classes")))
-    own = dealt.groupBy("id", "n", "classes", "class").agg(F.array_sort(F.collect_list("token")).alias("own"))
+    own = dealt.groupBy("id", "n", "classes", "class").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "before"))).alias("own"))
     combined = _combined(F.col("own"), k, F.xxhash64(F.lit(k), "classes"))
-    combined = own.filter(F.size("own") >= k).select(F.explode(combined).alias("key"), "id", "n")
+    combined = own.filter(F.size("own") >= k).select("id", "n", F.explode(combined).alias("c")).select("c.key", "id", "n", "c.before")
     return stage(single.unionByName(combined), "join-keys")
 
 
+def _may_link(n: str, m: str, before: Column, percent: int) -> Column:
+    """Whether sets of these sizes that differ in ``before`` tokens may link."""
+    total = F.col(n) + F.col(m)
+    return _fits(n, m, percent) & (before <= total - 2 * F.ceil(total * percent / (100 + percent)))
+
+
 def _fits(n: str, m: str, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
@@ -255,9 +270,10 @@ def _linked(
         held = held.filter("sets * sets > same").select("key", (crowded & F.lit(k < LONGEST)).alias("crowded"))
         marked = stage(marked.hint("merge").join(held, "key"), "judged-keys")
         few = marked.filter("not crowded")
-        other = few.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+        other = few.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("before").alias("more"), F.col("component").alias("other"))
         rest = few.withColumnRenamed("id", "a").hint("merge").join(other, "key")
-        rest = rest.filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _fits("n", "m", percent))
+        fit = _may_link("n", "m", F.col("before") + F.col("more"), percent)
+        rest = rest.filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & fit)
         rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         links = links.unionByName(stage(_checked(rest, prefixes, sets_of, percent, "rest"), "rest-links"))
         crowd = stage(marked.filter("crowded").select("id").distinct(), "crowd")
@@ -276,10 +292,11 @@ def _marked(keys: DataFrame, found: DataFrame | None) -> DataFrame:
 
 def _led(keys: DataFrame, percent: int) -> DataFrame:
     """Pairs of a key's sets with its two leaders, of the first and the last component."""
-    order = F.struct("component", "id", "n")
+    order = F.struct("component", "id", "n", "before")
     leads = keys.groupBy("key").agg(F.min(order).alias("l1"), F.max(order).alias("l2")).filter("l1.component < l2.component")
     leads = leads.select("key", F.explode(F.array("l1", "l2")).alias("lead"))
-    tried = keys.hint("merge").join(leads, "key").filter((F.col("component") != F.col("lead.component")) & _fits("n", "lead.n", percent))
+    fit = _may_link("n", "lead.n", F.col("before") + F.col("lead.before"), percent)
+    tried = keys.hint("merge").join(leads, "key").filter((F.col("component") != F.col("lead.component")) & fit)
     return stage(tried.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct(), "led-pairs")
 
 
