@@ -11,6 +11,7 @@ the tag. A comment or a raw-text element that never ends reaches to the end of t
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -60,6 +61,11 @@ _NAMED = "\u0003".join(
 )
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _code_point(number: Column) -> Column:
     valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
     text = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
@@ -89,8 +95,7 @@ def decode_entities(c: Column) -> Column:
             .otherwise(F.concat(F.lit("&"), p))
         )
 
-    pieces = F.transform(F.split(c, "&"), piece)
-    return F.when(c.contains("&"), F.array_join(pieces, "")).otherwise(c)
+    return _bound(c, lambda t: F.when(t.contains("&"), F.array_join(F.transform(F.split(t, "&"), piece), "")).otherwise(t))
 
 
 def without_comments(html: Column) -> Column:
@@ -109,9 +114,11 @@ def visible_text(html: Column) -> Column:
 def _attribute(tag: Column, name: str) -> Column:
     """Value of the first attribute of that name of a start tag, null when absent."""
     pattern = rf"""(?is)^<[a-z]{_upto(name)}{name}\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]++)"""
-    raw = F.regexp_extract(tag, pattern, 1)
-    value = F.regexp_replace(raw, r"""^(["'])(.*)\1$""", "$2")
-    return F.when(raw != "", decode_entities(value))
+
+    def value(raw: Column) -> Column:
+        return F.when(raw != "", decode_entities(F.regexp_replace(raw, r"""^(["'])(.*)\1$""", "$2")))
+
+    return _bound(F.regexp_extract(tag, pattern, 1), value)
 
 
 def anchors(html: Column, href_pattern: str) -> Column:
@@ -150,19 +157,22 @@ def _first(html: Column, wanted: str) -> Column:
 def meta_content(html: Column, prop: str) -> Column:
     """``content`` of the first meta tag with this property, null when absent or empty."""
     tag = _first(html, rf"meta\b{_having('property', prop)}{_REST}")
-    return F.nullif(_attribute(tag, "content"), F.lit(""))
+    return _bound(_attribute(tag, "content"), lambda v: F.nullif(v, F.lit("")))
 
 
 def title_text(html: Column, site_suffix: str | None = None) -> Column:
     """Text of the first title tag, minus ``| <site>`` at its end; null without a title tag."""
-    raw = _first(html, rf"title\b{_REST}{_body('title')}")
-    body = F.regexp_replace(raw, rf"(?is)^<title\b{_REST}|</title\s*+>$", "")
-    text = strip_space(decode_entities(body))
-    if site_suffix:
-        text = F.regexp_replace(text, rf"(?U)\s*\|\s*\Q{site_suffix}\E\s*\z", "")
-    return F.when(raw != "", text)
+
+    def title(raw: Column) -> Column:
+        body = F.regexp_replace(raw, rf"(?is)^<title\b{_REST}|</title\s*+>$", "")
+        text = strip_space(decode_entities(body))
+        if site_suffix:
+            text = F.regexp_replace(text, rf"(?U)\s*\|\s*\Q{site_suffix}\E\s*\z", "")
+        return F.when(raw != "", text)
+
+    return _bound(_first(html, rf"title\b{_REST}{_body('title')}"), title)
 
 
 def first_filled(*cols: Column) -> Column:
     """First value that is neither null nor the empty string."""
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
+    return F.coalesce(*[_bound(c, lambda v: F.nullif(v, F.lit(""))) for c in cols])
