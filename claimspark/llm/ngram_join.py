@@ -12,7 +12,8 @@ the size only, and a set is indexed for the sizes its partners may have.
 ``k`` starts at 2. Sets of a key that would still give more than ``PARTNERS`` pairs a set extend their
 prefixes by ``N`` and are indexed by ``k + 1`` tokens, among themselves only: two that link share such
 a key again, as both are among them. Pairs of the other keys are compared, and those of all keys at
-``LONGEST``.
+``LONGEST``. Two sets share all combinations of the tokens they share in a class; from triples on they are
+paired at the first one only, which both tell by the tokens it skips.
 
 Equal sets are one class before anything is compared. A key's sets are compared with two leaders
 of different components first; after that only sets of different components are, so a group of near
@@ -148,16 +149,25 @@ def _largest(n: Column, percent: int) -> Column:
     return F.floor(n * 100 / percent).cast("int")
 
 
-def _combined(tokens: Column, k: int, seed: Column) -> Column:
-    """Hashes of all combinations of ``k`` elements of an array, with what goes ``before`` the last of each."""
+def _listed(tokens: Column | None) -> Column:
+    return F.array().cast("array<bigint>") if tokens is None else tokens
+
+
+def _combined(tokens: Column, k: int, seed: Column, skipped: Column | None) -> Column:
+    """Hashes of all combinations of ``k`` elements of an array, with what goes ``before`` the last of each.
+
+    ``skipped`` are the tokens up to the last that are left out; None notes none of them.
+    """
+    passed = lambda i: None if skipped is None else F.concat(skipped, F.transform(F.slice(tokens, 1, i), lambda a: a["token"]))
     if k == 1:
-        return F.transform(tokens, lambda a: F.struct(F.xxhash64(seed, a["token"]).alias("key"), a["before"].alias("before")))
-    more = lambda a, i: _combined(F.slice(tokens, i + 2, F.size(tokens)), k - 1, F.xxhash64(seed, a["token"]))
+        last = lambda a, i: F.struct(F.xxhash64(seed, a["token"]).alias("key"), a["before"].alias("before"), _listed(passed(i)).alias("skipped"))
+        return F.transform(tokens, last)
+    more = lambda a, i: _combined(F.slice(tokens, i + 2, F.size(tokens)), k - 1, F.xxhash64(seed, a["token"]), passed(i))
     return F.flatten(F.transform(tokens, more))
 
 
 def _keys(prefixes: DataFrame, percent: int, frequent: int, k: int) -> DataFrame:
-    """``key, id, n, before``: everything a set is indexed by, ``k`` tokens at a time, and that another set shares.
+    """``key, id, n, before, skipped``: everything a set is indexed by, ``k`` tokens at a time, and that another set shares.
 
     Sets that share a token which few prefixes hold meet at its own key. So two sets that need a
     combination to meet share none of the ``before`` such tokens that go before it in either, and a
@@ -167,7 +177,7 @@ def _keys(prefixes: DataFrame, percent: int, frequent: int, k: int) -> DataFrame
     prefix = prefixes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     counts = prefix.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     known = stage(prefix.hint("merge").join(counts, "token"), "prefix-counts")
-    single = known.filter(F.col("df") <= frequent).select(F.col("token").alias("key"), "id", "n", F.lit(0).alias("before"))
+    single = known.filter(F.col("df") <= frequent).select(F.col("token").alias("key"), "id", "n", F.lit(0).alias("before"), _listed(None).alias("skipped"))
     held = known.filter(F.col("df") > frequent).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("held"))
     held = held.select("id", "n", F.posexplode("held").alias("rank", "one"))
     held = held.select("id", "n", "one.*", (F.col("one.pos") - F.col("rank")).alias("before"))
@@ -176,8 +186,8 @@ def _keys(prefixes: DataFrame, percent: int, frequent: int, k: int) -> DataFrame
     dealt = held.withColumn("classes", F.explode(levels))
     dealt = dealt.withColumn("class", F.pmod(F.xxhash64("token"), F.col("classes")))
     own = dealt.groupBy("id", "n", "classes", "class").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "before"))).alias("own"))
-    combined = _combined(F.col("own"), k, F.xxhash64(F.lit(k), "classes"))
-    combined = own.filter(F.size("own") >= k).select("id", "n", F.explode(combined).alias("c")).select("c.key", "id", "n", "c.before")
+    combined = _combined(F.col("own"), k, F.xxhash64(F.lit(k), "classes"), _listed(None) if k > 2 else None)
+    combined = own.filter(F.size("own") >= k).select("id", "n", F.explode(combined).alias("c")).select("c.key", "id", "n", "c.before", "c.skipped")
     return stage(single.unionByName(combined), "join-keys")
 
 
@@ -270,10 +280,12 @@ def _linked(
         held = held.filter("sets * sets > same").select("key", (crowded & F.lit(k < LONGEST)).alias("crowded"))
         marked = stage(marked.hint("merge").join(held, "key"), "judged-keys")
         few = marked.filter("not crowded")
-        other = few.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("before").alias("more"), F.col("component").alias("other"))
+        other = few.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("before").alias("more"), F.col("component").alias("other"), F.col("skipped").alias("passed"))
         rest = few.withColumnRenamed("id", "a").hint("merge").join(other, "key")
         fit = _may_link("n", "m", F.col("before") + F.col("more"), percent)
-        rest = rest.filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & fit)
+        # Tokens stand in one order in all sets: of the combinations that two share in a class, only the first skips nothing shared.
+        first_met = ~F.arrays_overlap("skipped", "passed")
+        rest = rest.filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & fit & first_met)
         rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         links = links.unionByName(stage(_checked(rest, prefixes, sets_of, percent, "rest"), "rest-links"))
         crowd = stage(marked.filter("crowded").select("id").distinct(), "crowd")
