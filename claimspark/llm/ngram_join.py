@@ -12,7 +12,7 @@ the size only, and a set is indexed for the sizes its partners may have.
 ``k`` starts at 2. Sets of a key that would still give more than ``PARTNERS`` pairs a set extend their
 prefixes by ``N`` and are indexed by ``k + 1`` tokens, among themselves only: two that link share such
 a key again, as both are among them. Pairs of the other keys are compared, and those of all keys at
-``LONGEST``. Two sets share all combinations of the tokens they share in a class; from triples on they are
+``LONGEST``. Two sets share all combinations of the tokens they share in a class; at ``LONGEST``, where each has many, they are
 paired at the first one only, which both tell by the tokens it skips.
 
 Equal sets are one class before anything is compared. A key's sets are compared with two leaders
@@ -186,7 +186,7 @@ def _keys(prefixes: DataFrame, percent: int, frequent: int, k: int) -> DataFrame
     dealt = held.withColumn("classes", F.explode(levels))
     dealt = dealt.withColumn("class", F.pmod(F.xxhash64("token"), F.col("classes")))
     own = dealt.groupBy("id", "n", "classes", "class").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "before"))).alias("own"))
-    combined = _combined(F.col("own"), k, F.xxhash64(F.lit(k), "classes"), _listed(None) if k > 2 else None)
+    combined = _combined(F.col("own"), k, F.xxhash64(F.lit(k), "classes"), _listed(None) if k == LONGEST else None)
     combined = own.filter(F.size("own") >= k).select("id", "n", F.explode(combined).alias("c")).select("c.key", "id", "n", "c.before", "c.skipped")
     return stage(single.unionByName(combined), "join-keys")
 
