@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import string
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,15 +36,30 @@ TRAIN_ROWS = 10_000
 CACHE_WORDS = 400_000
 #: Texts scored at once.
 CHUNK = 500
+#: Words whose n-grams are hashed at once, and pairs of word and bucket that are summed at once.
+WORDS_AT_ONCE, PAIRS_AT_ONCE = 8_192, 1 << 18
 THRESHOLD = 0.3
 
 
 def word_buckets(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of word number and hash bucket: each word's n-grams and the word itself.
 
-    Case and outer punctuation do not count. The n-grams of all words are hashed at once, as
-    polynomials over code points.
+    Case and outer punctuation do not count. The n-grams of ``WORDS_AT_ONCE`` words are hashed at
+    once, as polynomials over code points.
     """
+    parts = []
+    for first in range(0, len(words), WORDS_AT_ONCE):
+        of, flat = _word_grams(words[first : first + WORDS_AT_ONCE], buckets)
+        parts.append(([o + np.int32(first) for o in of], flat))
+    of, flat = [p[0] for p in parts], [p[1] for p in parts]
+    del parts
+    # By length of the n-grams, then by word, whatever the size of a part.
+    of = np.concatenate([np.zeros(0, np.int32), *(x for group in zip(*of) for x in group)])
+    return of, np.concatenate([np.zeros(0, np.int32), *(x for group in zip(*flat) for x in group)])
+
+
+def _word_grams(words: list[str], buckets: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Word numbers and buckets of the whole words, then of the n-grams of each length."""
     marked = [f"<{w.lower().strip(string.punctuation)}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([len(m) for m in marked])
@@ -59,7 +75,7 @@ def word_buckets(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray,
         inside = left[: len(value)] >= n
         of.append(word[: len(value)][inside])
         found.append(value[inside])
-    return np.concatenate(of), (np.concatenate(found) % np.uint64(buckets)).astype(np.int32)
+    return of, [(x % np.uint64(buckets)).astype(np.int32) for x in found]
 
 
 def window_starts(words: int, window: int = WINDOW) -> np.ndarray:
@@ -81,9 +97,24 @@ def _soft_max(logits: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return top + np.log(total / sizes) + 0.5 * np.log(np.minimum(sizes, RAISED)), weight / np.repeat(total, sizes)
 
 
+def _sums(keys: np.ndarray, values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """``values[at]`` summed by key in the order given, ``PAIRS_AT_ONCE`` at a time."""
+    total = np.zeros(size)
+    for i in range(0, len(keys), PAIRS_AT_ONCE):
+        part = slice(i, i + PAIRS_AT_ONCE)
+        np.add.at(total, keys[part].astype(np.intp), values[at[part]].astype(np.float64))
+    return total
+
+
 def _seen_often(tokens, doc_at, of, flat, sizes) -> np.ndarray:
     """Buckets met in at least ``MIN_DOCS`` documents; the others would only be learned by heart."""
-    own, at = flat[np.argsort(of, kind="stable")], np.cumsum(sizes) - sizes
+    at = np.cumsum(sizes) - sizes
+    own, room = np.empty_like(flat), at.copy()
+    runs = [0, *(np.flatnonzero(of[1:] < of[:-1]) + 1).tolist(), len(of)]
+    for first, end in zip(runs, runs[1:]):  # each is in order of words
+        n = np.bincount(of[first:end], minlength=len(sizes))
+        own[np.repeat(room - (np.cumsum(n) - n), n) + np.arange(end - first)] = flat[first:end]
+        room += n
     seen = np.zeros(BUCKETS, np.int32)
     for words in np.split(tokens, doc_at[1:]):
         words = np.unique(words)
@@ -93,27 +124,29 @@ def _seen_often(tokens, doc_at, of, flat, sizes) -> np.ndarray:
     return (seen >= MIN_DOCS).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 1) -> tuple[np.ndarray, float]:
+def train(texts: Iterable[str], labels: list[int], seed: int = 1) -> tuple[np.ndarray, float]:
     """Embeddings and softmax by Adam over all documents; returns a score per bucket, and the bias."""
     index: dict[str, int] = {}
-    tokens, window_at, doc_at, kept = [], [], [], []
+    tokens, window_at, doc_at, kept = array("i"), [], [], []
     for text, label in zip(texts, labels):
         words = text.split()
         if words:
             doc_at.append(len(window_at))
             window_at += (window_starts(len(words)) + len(tokens)).tolist()
-            tokens += [index.setdefault(w, len(index)) for w in words]
+            tokens.extend([index.setdefault(w, len(index)) for w in words])
             kept.append(label)
     rate = np.mean(labels) if len(labels) else 0.0
     prior = float(np.log((rate * len(labels) + 1) / ((1 - rate) * len(labels) + 1)))
     if not tokens or len(set(kept)) < 2:
         return np.zeros(BUCKETS, np.float32), prior
-    of, flat = word_buckets(list(index))
-    sizes = np.bincount(of)
+    index = list(index)
+    of, flat = word_buckets(index)
     del index
+    sizes = _sums(of, np.ones(1), np.broadcast_to(0, len(of)), int(of.max()) + 1).astype(np.int64)
     tokens, window_at = np.array(tokens, np.int32), np.array(window_at)
     doc_at, y = np.array(doc_at), np.array(kept, np.float64)
     lengths = np.diff(np.append(window_at, len(tokens)))
+    window = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     learns = _seen_often(tokens, window_at[doc_at], of, flat, sizes)
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32) * learns[:, None]
@@ -128,13 +161,13 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> tuple[np.ndarra
 
     for step in range(1, EPOCHS + 1):
         toward = softmax[:, 1] - softmax[:, 0]
-        word = np.bincount(of, (table @ toward)[flat]) / sizes
+        word = _sums(of, table @ toward, flat, len(sizes)) / sizes
         logits = np.add.reduceat(word[tokens], window_at) / lengths + bias
         pooled, share = _soft_max(logits, doc_at)
         error = (1 / (1 + np.exp(-pooled)) - y) / len(y)
         back = share * np.repeat(error, np.diff(np.append(doc_at, len(logits))))
-        per_word = np.bincount(tokens, np.repeat(back / lengths, lengths), len(sizes))
-        per_bucket = np.bincount(flat, (per_word / sizes)[of], BUCKETS).astype(np.float32)
+        per_word = _sums(tokens, back / lengths, window, len(sizes))
+        per_bucket = _sums(flat, per_word / sizes, of, BUCKETS).astype(np.float32)
         per_bucket *= learns
         pull = per_bucket @ table
         table = adam(0, table, per_bucket[:, None] * toward, step) * np.float32(1 - RATE * DECAY)
@@ -184,7 +217,8 @@ def _fitted(sample: DataFrame) -> tuple[bytes, float]:
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([*frames, pd.DataFrame({"doc_id": [], "text": [], "_label": []})])
         rows = rows.sort_values(["doc_id", "text"])
-        weights, bias = train(rows["text"].tolist(), [int(x) for x in rows["_label"]])
+        # The texts are let go as they are read.
+        weights, bias = train(iter(rows.pop("text").tolist()), [int(x) for x in rows["_label"]])
         yield pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
 
     found = sample.repartition(1).mapInPandas(fit, "weights binary, bias double").first()
