@@ -27,7 +27,8 @@ full sets are made again from the texts, and only for pairs whose sketches may l
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,24 +48,78 @@ PARTNERS = 16
 LONGEST = 4
 #: Counters of the histogram of all tokens.
 BUCKETS = 1 << 18
-CACHE_WORDS = 500_000
+#: Bytes of texts whose words are hashed together, and those of a word beyond which it is hashed alone.
+BLOCK, LONG = 1 << 17, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_known: dict[bytes, int] = {}
-
-
-def _shingles(text: bytes | None, words: int) -> np.ndarray:
-    """Sorted distinct hashes of ``words`` consecutive words; fewer words are one shingle."""
-    found = (text or b"").lower().split()  # on bytes, these know A-Z and the ASCII spaces only
-    if not found:
-        return np.zeros(0, np.uint64)
-    new = set(found).difference(_known)
-    if len(_known) > CACHE_WORDS:
-        _known.clear()
-        new = set(found)
-    _known.update((w, xxhash.xxh64_intdigest(w)) for w in new)
-    hashed = np.fromiter(map(_known.__getitem__, found), np.uint64, len(found))
-    return np.unique(rolling(hashed, min(words, len(found))))
+BASE = 0x9E3779B97F4A7C1B
+VISIBLE = np.array([i != 0x20 and not 0x09 <= i <= 0x0D for i in range(256)])
+#: A number per byte, the same for A-Z and a-z.
+CODES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 64, 256, np.uint64)
+CODES[ord("A") : ord("Z") + 1] = CODES[ord("a") : ord("z") + 1]
+
+
+@lru_cache(maxsize=1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``2 ** bits`` powers of ``BASE`` and of its inverse, modulo 2 ** 64."""
+    both = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        factors = np.full(1 << bits, base, np.uint64)
+        factors[0] = 1
+        both.append(np.cumprod(factors))
+    return both[0], both[1]
+
+
+def _hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word: a sum over its bytes, as a difference of running sums, mixed."""
+    hashes, firsts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        cut = data.rfind(b" ", at, at + BLOCK) + 1 if len(data) - at > BLOCK else len(data)
+        cut = cut or data.find(b" ", at + BLOCK) + 1 or len(data)
+        codes = np.frombuffer(data, np.uint8, cut - at, at)
+        seen = np.zeros(len(codes) + 2, bool)
+        seen[1:-1] = VISIBLE[codes]
+        edges = np.flatnonzero(seen[1:] != seen[:-1])
+        first, end = edges[::2], edges[1::2]
+        powers, inverse = _powers((max(BLOCK, len(codes)) - 1).bit_length())
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(CODES[codes] * powers[: len(codes)], out=sums[1:])
+        value = (sums[end] - sums[first]) * inverse[first]
+        value = (value ^ (value >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        value ^= value >> np.uint64(32)
+        for i in np.flatnonzero(end - first > LONG).tolist():
+            value[i] = xxhash.xxh64_intdigest(data[at + first[i] : at + end[i]].lower())
+        hashes.append(value)
+        firsts.append(first + at)
+        at = cut
+    return np.concatenate(hashes), np.concatenate(firsts)
+
+
+def shingle_sets(texts: Iterable[bytes | None], words: int) -> Iterator[np.ndarray]:
+    """Per text its sorted distinct hashes of ``words`` consecutive words; fewer words are one shingle.
+
+    A-Z are lower-cased; words are cut at ASCII white space. Texts are hashed about ``BLOCK`` bytes at a time.
+    """
+    held, size = [], 0
+    for text in texts:
+        held.append(text or b"")
+        size += len(held[-1]) + 1
+        if size >= BLOCK:
+            yield from _sets(held, words)
+            held, size = [], 0
+    if held:
+        yield from _sets(held, words)
+
+
+def _sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    hashes, firsts = _hashed_words(b" ".join(texts))
+    bounds = np.searchsorted(firsts, np.cumsum([0] + [len(t) + 1 for t in texts])).tolist()
+    found = rolling(hashes, words)
+    for a, b in zip(bounds, bounds[1:]):
+        own = np.sort(found[a : b - words + 1] if b - a >= words else rolling(hashes[a:b], max(1, b - a)))
+        first = np.ones(len(own), bool)
+        np.not_equal(own[1:], own[:-1], out=first[1:])
+        yield own[first]
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
@@ -77,7 +132,7 @@ def token_levels(docs: DataFrame, words: int, frequent: int) -> np.ndarray:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, np.int64)
         for frame in frames:
-            found = [_shingles(text, words) for text in frame["text"]]
+            found = [*shingle_sets(frame["text"], words), np.zeros(0, np.uint64)]
             total += np.bincount(_bucket(np.concatenate(found)), minlength=BUCKETS)
         some = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": some, "n": total[some]})
@@ -91,10 +146,10 @@ def token_levels(docs: DataFrame, words: int, frequent: int) -> np.ndarray:
     return np.where(beyond > 8 * np.sqrt(mean) + frequent, 1 + np.log2(np.maximum(beyond, 1)), 0).astype(np.uint8)
 
 
-def _ranked(text: bytes | None, words: int, levels: np.ndarray) -> np.ndarray:
-    """The shingles of a text, those of low levels first."""
-    tokens = _shingles(text, words)
-    return tokens[np.argsort(levels[_bucket(tokens)], kind="stable")].view(np.int64)
+def _ranked(texts: Iterable[bytes | None], words: int, levels: np.ndarray) -> Iterator[np.ndarray]:
+    """The shingles of each text, those of low levels first."""
+    for tokens in shingle_sets(texts, words):
+        yield tokens[np.argsort(levels[_bucket(tokens)], kind="stable")].view(np.int64)
 
 
 def ranked_sets(words: int, levels: np.ndarray) -> Callable[[Column], Column]:
@@ -102,7 +157,7 @@ def ranked_sets(words: int, levels: np.ndarray) -> Callable[[Column], Column]:
 
     @F.pandas_udf(ArrayType(LongType()))
     def tokens(texts: pd.Series) -> pd.Series:
-        return pd.Series([_ranked(t, words, levels) for t in texts])
+        return pd.Series(list(_ranked(texts, words, levels)))
 
     return tokens
 
@@ -117,8 +172,7 @@ def set_summaries(words: int, levels: np.ndarray, percent: int, k: int = 2) -> C
     @F.pandas_udf("n int, digest binary, prefix array<bigint>, parity array<bigint>")
     def summary(texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for text in texts:
-            tokens = _ranked(text, words, levels)
+        for tokens in _ranked(texts, words, levels):
             n, digest = len(tokens), hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
             some = n >= smallest
             rows.append((n, digest, tokens[: prefix_length(n, percent, k)] if some else None, parity(tokens) if some else None))
