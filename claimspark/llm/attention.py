@@ -3,7 +3,7 @@
 The attention layer learns from every window of every training text: each task trains a replica in numpy,
 and Spark averages the replicas after each round. Its softmax is a Huffman tree over all ids, whose
 nodes start from the counts of the training texts and learn a vector each; no other model takes part.
-Windows of ``WINDOW`` ids overlap by ``OVERLAP``; every id is
+Each text is encoded once and its ids are written. Windows of ``WINDOW`` ids overlap by ``OVERLAP``; every id is
 scored once, in the first window that holds it past the overlap. Word counts grow with the
 corpus: only the most frequent, at most ``TOP_WORDS`` short ones, are broadcast, and the rest is joined.
 """
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.llm.ngram_join import LOWER, UPPER
@@ -83,10 +83,16 @@ class Tree:
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sum of their rows of ``values``."""
-    order = np.argsort(keys, kind="stable")
+    small = len(keys) and keys.max() < 1 << 16  # sorted by digits then
+    order = np.argsort(keys.astype(np.uint16) if small else keys, kind="stable")
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[starts], np.add.reduceat(values[order], starts, axis=0)
+    return keys[starts], np.add.reduceat(_rows(values, order), starts, axis=0)
+
+
+def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``table[at]`` for places known to be in it."""
+    return np.take(table, at, axis=0, mode="clip")
 
 
 class Attention:
@@ -110,7 +116,7 @@ class Attention:
     def forward(self, ids: np.ndarray):
         """``ids``: windows of inputs, where position t predicts the id after it."""
         p, t = self.part, ids.shape[1]
-        x = p("embed")[ids] + p("place")[:t]
+        x = _rows(p("embed"), ids) + p("place")[:t]
         q, k, v = x @ p("q"), x @ p("k"), x @ p("v")
         a = q @ k.swapaxes(1, 2) * np.float32(DIM**-0.5) + self.mask[:t, :t]
         a = np.exp(a - a.max(axis=2, keepdims=True))
@@ -119,16 +125,20 @@ class Attention:
         return h @ p("out") + x @ p("last"), (x, q, k, v, a, h)
 
     def steps(self, z: np.ndarray, target: np.ndarray):
-        """Owner, node, sign and signed logit of every step from the rows of ``z`` to ``target``."""
+        """Owner, node, sign and signed logit of every step from the rows of ``z`` to ``target``, and both sides of its product."""
         owner, node, sign = self.tree.paths(target)
-        logit = np.einsum("nd,nd->n", z[owner], self.part("node")[node]) + self.tree.bias[node]
-        return owner, node, sign, sign * logit
-
-    def logs(self, ids: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log10 probability of every target; over all ids they sum to 1."""
-        owner, _, _, logit = self.steps(self.forward(ids)[0].reshape(-1, DIM), target.ravel())
+        sides = _rows(z, owner), _rows(self.part("node"), node)
+        logit = np.einsum("nd,nd->n", *sides) + self.tree.bias[node]
+        return owner, node, sign, sign * logit, sides
+
+    def logs(self, ids: np.ndarray, target: np.ndarray, new: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of every target; over all ids they sum to 1. Those that are not ``new`` get 0."""
+        asked = np.arange(target.size) if new is None else np.flatnonzero(new.ravel())
+        owner, _, _, logit, _ = self.steps(_rows(self.forward(ids)[0].reshape(-1, DIM), asked), target.ravel()[asked])
         lost = np.maximum(-logit, 0) + np.log1p(np.exp(-np.abs(logit)))
-        return -np.bincount(owner, lost, target.size).reshape(target.shape) / np.log(10)
+        found = np.zeros(target.size)
+        found[asked] = -np.bincount(owner, lost, len(asked)) / np.log(10)
+        return found.reshape(target.shape)
 
     def gradients(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the table that the targets of a weight bear on, and their gradient of the mean loss."""
@@ -136,11 +146,11 @@ class Attention:
         z, (x, q, k, v, a, h) = self.forward(ids)
         asked = np.flatnonzero(weight.ravel())
         flat = z.reshape(-1, DIM)[asked]
-        owner, node, sign, logit = self.steps(flat, target.ravel()[asked])
+        owner, node, sign, logit, (above, below) = self.steps(flat, target.ravel()[asked])
         slope = (-sign / (1 + np.exp(np.clip(logit, -60, 60))) / max(1, len(asked))).astype(np.float32)[:, None]
         starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         dz = np.zeros((z.size // DIM, DIM), np.float32)
-        dz[asked] = np.add.reduceat(slope * p("node")[node], starts, axis=0)
+        dz[asked] = np.add.reduceat(np.multiply(slope, below, out=below), starts, axis=0)
         dz = dz.reshape(z.shape)
         dh = dz @ p("out").T
         da, dv = dh @ v.swapaxes(1, 2), a.swapaxes(1, 2) @ dh
@@ -149,7 +159,7 @@ class Attention:
         dx = dz @ p("last").T + dq @ p("q").T + dk @ p("k").T + dv @ p("v").T
         wide = lambda m: m.reshape(-1, DIM)
         seen, moved = _sums(ids.ravel(), wide(dx))
-        met, drawn = _sums(node, slope * flat[owner])
+        met, drawn = _sums(node, np.multiply(slope, above, out=above))
         place = np.zeros((WINDOW, DIM), np.float32)
         place[:t] = dx.sum(0)
         dense = [wide(x).T @ wide(d) for d in (dq, dk, dv)] + [wide(h).T @ wide(dz), wide(x).T @ wide(dz)]
@@ -173,14 +183,43 @@ class Learner:
             rows, grad = self.model.gradients(given[pick], target[pick], new[pick])
             self.step += 1
             self.times[rows] += 1
-            mean, square = 0.9 * self.mean[rows] + 0.1 * grad, 0.99 * self.square[rows] + 0.01 * grad * grad
+            mean, square = 0.9 * _rows(self.mean, rows) + 0.1 * grad, 0.99 * _rows(self.square, rows) + 0.01 * grad * grad
             self.mean[rows], self.square[rows] = mean, square
             move = mean / (1 - 0.9**self.step) / (np.sqrt(square / (1 - 0.99**self.step)) + 1e-8)
             self.model.table[rows] -= np.float32(RATE) * move
 
 
+def _unpacked(raw: bytes, vocabulary: int) -> np.ndarray:
+    return np.frombuffer(raw, _id_type(vocabulary))
+
+
+def _id_type(vocabulary: int) -> type:
+    return np.uint16 if vocabulary <= 1 << 16 else np.uint32
+
+
+def _packed(texts: list[str], tokenizer: str, vocabulary: int) -> list[bytes]:
+    return [ids.astype(_id_type(vocabulary)).tobytes() for _, ids in encoder(tokenizer).encode(texts)]
+
+
+def _part() -> Column:
+    """The round of a pass that learns from a text."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).alias("part")
+
+
 def trained(train: DataFrame, tokenizer: str, frequency: np.ndarray) -> Attention:
-    """The model after passes over all windows of all texts of ``train``.
+    """The model after passes over all windows of all texts of ``train``, each encoded once."""
+    size = len(frequency)
+
+    @F.pandas_udf("binary")
+    def packed(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in frames:
+            yield pd.Series(_packed(texts.tolist(), tokenizer, size))
+
+    return fitted(stage(train.select(_part(), packed("text").alias("ids")), "encoded"), frequency)
+
+
+def fitted(train: DataFrame, frequency: np.ndarray) -> Attention:
+    """The model after passes over all windows of ``train``: the packed ``ids`` of texts and their ``part``.
 
     A pass has ``ROUNDS`` rounds over disjoint parts of the texts. In a round every task trains a replica on
     its texts; Spark averages each row of the table over the replicas that changed it, by their
@@ -190,7 +229,6 @@ def trained(train: DataFrame, tokenizer: str, frequency: np.ndarray) -> Attentio
     end = size - 1
     passes = min(MAX_PASSES, -(-FEW_IDS // max(1, known))) if known else 0
     context = train.sparkSession.sparkContext
-    rows = train.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).alias("part"))
     for turn in range(passes * ROUNDS):
         shared = context.broadcast(model)
 
@@ -201,9 +239,9 @@ def trained(train: DataFrame, tokenizer: str, frequency: np.ndarray) -> Attentio
                 learner.learn(*(np.concatenate(x) for x in zip(*held)))
 
             for frame in frames:
-                for _, ids in encoder(tokenizer).encode(frame["text"].tolist()):
+                for raw in frame["ids"]:
                     learner = learner or Learner(copy.deepcopy(shared.value), turn)
-                    whole = np.append(ids, end)
+                    whole = np.append(_unpacked(raw, size), end)
                     for i in range(0, len(whole), SPAN):  # long texts by bounded spans, each after its last id
                         held.append(windows(whole[i : i + SPAN], whole[i - 1] if i else size))
                         waiting += len(held[-1][0])
@@ -232,7 +270,7 @@ def trained(train: DataFrame, tokenizer: str, frequency: np.ndarray) -> Attentio
                 mean = (held[at, :DIM] / held[at, DIM:]).astype(np.float32)
                 yield pd.DataFrame({"at": [(at + block * BLOCK).tobytes()], "v": [mean.tobytes()]})
 
-        parts = rows.filter(F.col("part") == turn % ROUNDS).select("text").mapInPandas(learn, "block long, at binary, w binary, v binary")
+        parts = train.filter(F.col("part") == turn % ROUNDS).select("ids").mapInPandas(learn, "block long, at binary, w binary, v binary")
         for r in parts.repartition("block").mapInPandas(add, "at binary, v binary").collect():  # one table
             model.table[np.frombuffer(r["at"], np.int64)] = np.frombuffer(r["v"], np.float32).reshape(-1, DIM)
         shared.unpersist()
@@ -266,7 +304,7 @@ class Scorer:
             owner = np.concatenate(owners)
             for i in range(0, len(given), GROUP):
                 part = slice(i, i + GROUP)
-                np.add.at(total, owner[part], (self.model.logs(given[part], target[part]) * new[part]).sum(axis=1))
+                np.add.at(total, owner[part], self.model.logs(given[part], target[part], new[part]).sum(axis=1))
 
         for i, ids in enumerate(texts):
             held.append(windows(ids, start))
@@ -303,44 +341,50 @@ def text_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
     size = encoder(tokenizer).tokenizer.get_vocab_size()
     end = size - 1
 
+    def encode(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in frames:
+            ids = _packed(texts.tolist(), tokenizer, size)
+            n, known, base, rare = [], [], [], []
+            for text in texts:
+                own = WORD.findall(text)
+                seen = np.array([common.value.get(w, 0) for w in own] + [ends], np.float64)
+                n.append(len(own) + 1)
+                known.append(int((seen > 0).sum()))
+                base.append(float(np.log10(seen[seen > 0] + 1).sum()))
+                rare.append([w for w, c in zip(own, seen) if not c])
+            yield pd.DataFrame({"ids": ids, "n_tokens": n, "n_known": known, "base": base, "rare": rare})
+
+    common = docs.sparkSession.sparkContext.broadcast(top)
+    schema = "ids binary, n_tokens long, n_known long, base double, rare array<string>"
+    encoded = rows.select("doc_id", "held_out", _part(), F.pandas_udf(encode, schema)("text").alias("s")).select("doc_id", "held_out", "part", "s.*")
+    # Every text is encoded once: counts, rounds and scores read its ids.
+    encoded = stage(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    learned = encoded.filter("not held_out")
+
     def count_ids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             times = np.zeros(size, np.int64)
-            for _, ids in encoder(tokenizer).encode(frame["text"].tolist()):
-                times += np.bincount(ids, minlength=size)
+            for raw in frame["ids"]:
+                times += np.bincount(_unpacked(raw, size), minlength=size)
             times[end] += len(frame)
             yield pd.DataFrame({"id": np.flatnonzero(times), "c": times[times > 0]})
 
     frequency = np.zeros(size, np.int64)
     # At most one row per id of the vocabulary.
-    for r in train.select("text").mapInPandas(count_ids, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():
+    for r in learned.select("ids").mapInPandas(count_ids, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():
         frequency[r["id"]] = r["c"]
-    net = Scorer(trained(train, tokenizer, frequency))
-    shared = docs.sparkSession.sparkContext.broadcast((net, top))
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(fitted(learned, frequency)))
 
-    def score(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        net, top = shared.value
-        for texts in frames:
-            ids = [np.append(x, end).astype(np.int64) for _, x in encoder(tokenizer).encode(texts.tolist())]
-            out = pd.DataFrame({"score": net.totals(ids, size)})
-            n, known, base, rare = [], [], [], []
-            for text in texts:
-                own = WORD.findall(text)
-                seen = np.array([top.get(w, 0) for w in own] + [ends], np.float64)
-                n.append(len(own) + 1)
-                known.append(int((seen > 0).sum()))
-                base.append(float(np.log10(seen[seen > 0] + 1).sum()))
-                rare.append([w for w, c in zip(own, seen) if not c])
-            yield out.assign(n_tokens=n, n_known=known, base=base, rare=rare)
+    def score(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in frames:
+            yield pd.Series(shared.value.totals([np.append(_unpacked(raw, size), end).astype(np.int64) for raw in batch], size))
 
-    schema = "score double, n_tokens long, n_known long, base double, rare array<string>"
-    scored = rows.select("doc_id", "held_out", F.pandas_udf(score, schema)("text").alias("s")).select("doc_id", "held_out", "s.*")
-    scored = stage(scored.withColumn("row", F.monotonically_increasing_id()), "scores")
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
+    scored = encoded.withColumn("score", F.pandas_udf(score, "double")("ids")).drop("ids", "part", "rare")
+    rare = encoded.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
     met = rare.hint("merge").join(counts, "word").groupBy("row").agg(
         F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("added")
     )
-    joined = scored.drop("rare").hint("merge").join(met, "row", "left")
+    joined = scored.hint("merge").join(met, "row", "left")
     whole = F.col("base") + F.coalesce("added", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + kinds + 1))
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
