@@ -13,7 +13,7 @@ from __future__ import annotations
 import copy
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,8 @@ ROUNDS = 3
 FEW_IDS, MAX_PASSES = 3_000_000, 8
 #: Ids of a long text that are cut into windows at once, and windows that are shuffled together.
 SPAN, HELD = 100_000, 4_096
+#: Characters of texts that are encoded together, and pieces whose ids a task keeps meanwhile.
+ENCODED, PIECES = 1_000_000, 300_000
 #: Rows of the table that are averaged together.
 BLOCK = 1_024
 TOP_WORDS, TOP_CHARS = 50_000, 40
@@ -198,7 +200,20 @@ def _id_type(vocabulary: int) -> type:
 
 
 def _packed(texts: list[str], tokenizer: str, vocabulary: int) -> list[bytes]:
-    return [ids.astype(_id_type(vocabulary)).tobytes() for _, ids in encoder(tokenizer).encode(texts)]
+    return [ids.astype(_id_type(vocabulary)).tobytes() for _, ids in encoder(tokenizer, PIECES).encode(texts)]
+
+
+def _bounded(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of about ``ENCODED`` characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= ENCODED:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _part() -> Column:
@@ -213,7 +228,7 @@ def trained(train: DataFrame, tokenizer: str, frequency: np.ndarray) -> Attentio
     @F.pandas_udf("binary")
     def packed(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in frames:
-            yield pd.Series(_packed(texts.tolist(), tokenizer, size))
+            yield from (pd.Series(_packed(part, tokenizer, size)) for part in _bounded(texts.tolist()))
 
     return fitted(stage(train.select(_part(), packed("text").alias("ids")), "encoded"), frequency)
 
@@ -295,9 +310,9 @@ class Scorer:
     def __init__(self, model: Attention):
         self.model = model
 
-    def totals(self, texts: list[np.ndarray], start: int) -> np.ndarray:
-        """log10 probability per list of ids."""
-        total, held, owners, waiting = np.zeros(len(texts)), [], [], 0
+    def totals(self, texts: Iterable[np.ndarray], count: int, start: int) -> np.ndarray:
+        """log10 probability per list of ids, of ``count`` lists that are read one by one."""
+        total, held, owners, waiting = np.zeros(count), [], [], 0
 
         def flush():
             given, target, new = (np.concatenate(x) for x in zip(*held))
@@ -338,12 +353,13 @@ def text_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
     short = counts.filter(F.length("word") <= TOP_CHARS).orderBy(F.desc("c"), "word").limit(TOP_WORDS)
     top = {r["word"]: r["c"] for r in short.collect()}  # bounded by count and length
 
-    size = encoder(tokenizer).tokenizer.get_vocab_size()
+    size = encoder(tokenizer, PIECES).tokenizer.get_vocab_size()
     end = size - 1
 
     def encode(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in frames:
-            ids = _packed(texts.tolist(), tokenizer, size)
+        # The rows of a frame are many; what is made of them leaves in parts.
+        for texts in (part for frame in frames for part in _bounded(frame.tolist())):
+            ids = _packed(texts, tokenizer, size)
             n, known, base, rare = [], [], [], []
             for text in texts:
                 own = WORD.findall(text)
@@ -377,7 +393,8 @@ def text_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def score(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in frames:
-            yield pd.Series(shared.value.totals([np.append(_unpacked(raw, size), end).astype(np.int64) for raw in batch], size))
+            ids = (np.append(_unpacked(raw, size), end).astype(np.int64) for raw in batch)
+            yield pd.Series(shared.value.totals(ids, len(batch), size))
 
     scored = encoded.withColumn("score", F.pandas_udf(score, "double")("ids")).drop("ids", "part", "rare")
     rare = encoded.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))

@@ -133,6 +133,6 @@ class CachedEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> CachedEncoder:
+def encoder(path: str, limit: int = CACHE_PIECES) -> CachedEncoder:
     """The worker's encoder, kept from task to task."""
-    return CachedEncoder(path)
+    return CachedEncoder(path, limit)
