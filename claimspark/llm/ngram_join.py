@@ -414,8 +414,8 @@ def _linked(
             few = few.unionByName(many.hint("merge").join(dense, "id", "left_anti"))
             dense = dense.hint("merge").join(now.select("id", "n", "parity"), "id")
             for nearest in (True, False):
-                of = _marked(dense, stage(components(links), "components"))
-                near = stage(_in_blocks(of, percent, nearest).join(tried, ["a", "b"], "left_anti"), "block-pairs")
+                found = found if nearest else stage(components(links), "components")
+                near = stage(_in_blocks(_marked(dense, found), percent, nearest).join(tried, ["a", "b"], "left_anti"), "block-pairs")
                 links = links.unionByName(stage(_compared(near, sets_of, percent, "block"), "block-links"))
         other = few.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("before").alias("more"), F.col("component").alias("other"), F.col("skipped").alias("passed"))
         rest = few.withColumnRenamed("id", "a").hint("merge").join(other, "key")
